@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamgrid.llm import chat, licenses
 from loamgrid.llm.common import table
 from loamgrid.llm.exact_dedup import LOWER, UPPER, exact_dedup
+from loamgrid.llm.mixing import mix
+from loamgrid.llm.near_dedup import near_duplicates
 from loamgrid.llm.packing import pack
+from loamgrid.llm.quality import score_quality
 from loamgrid.llm.secret_scan import secret_report
 from loamgrid.llm.token_counts import token_counts
 from loamgrid.llm.topk import topk
@@ -19,6 +23,22 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -27,6 +47,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -36,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_topk, op6_secret_scan, op7_packing, op9_exact_dedup, op10_token_counts)
+    f.__name__: f for f in (op1_exact_topk, op2_quality, op3_near_dedup, op4_license_scan, op5_source_mix, op6_secret_scan, op7_packing, op8_chat_format, op9_exact_dedup, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {
@@ -49,6 +73,8 @@ ORACLES: dict[str, str] = {
         SELECT query_id, rank, vec_id, score FROM (
             SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
         WHERE rank <= 5""",
+    "op4_license_scan": licenses.oracle_sql(),
+    "op8_chat_format": chat.ORACLE_SQL,
     "op9_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
