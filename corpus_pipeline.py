@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamgrid.llm.common import ensure_checkpoint_dir, table
+from loamgrid.llm.common import shared_folder, table
 from loamgrid.llm.exact_dedup import keep_first_copies
 from loamgrid.llm.mixing import mixed_rows
 from loamgrid.llm.near_dedup import keep_one_of_each
@@ -60,8 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole of ``documents``."""
     ship(spark)
-    ensure_checkpoint_dir(spark)
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = f"{shared}/corpus-{uuid.uuid4().hex}/{name}"

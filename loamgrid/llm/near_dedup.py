@@ -13,11 +13,14 @@ so the signature is that of the whole process: places agree with probability equ
 similarity.
 
 Classes.  Exact token copies are collapsed first.  Representatives that agree in a band meet in its
-bucket, where each is paired with the bucket's leader, not with everyone; pairs are verified by
-the overlap of the whole multisets.  Links give connected components.  Where a bucket then still
-holds members that weren't linked to its leader, those outsiders are verified against the bucket's
-members of other components, and components are formed again, so every two texts that share a
-band are either in one class already or have been compared.
+bucket, where each is paired with the bucket's leader, not with everyone; the leader is the member
+that meets most others over all bands, the hub of a group of copies.  Pairs are verified by the
+overlap of the whole multisets, and links give connected components.  A bucket may then still hold
+outsiders, members of other components than the leader's.  In buckets of up to ``small`` members
+each outsider is verified against every member of another component.  In larger ones, where that
+would be all pairs of a group, members are dealt to finer buckets, one for each two neighbouring
+bands that they share, and each finer bucket gets two leaders of its own.  A link that is missed by
+all leaders changes no class unless nothing else connects its two texts.
 
 Defined results: null text counts as empty; a text without words is in a class of its own; a class
 is named by its smallest doc_id (a null doc_id only if there is no other); rows that repeat a
@@ -31,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.llm import textkernel as tk
@@ -44,6 +47,8 @@ class Settings:
     threshold: float = 0.8
     bands: int = 16
     rows: int = 4
+    small: int = 64
+    reach: int = 2
 
     @property
     def places(self) -> int:
@@ -164,29 +169,31 @@ def bags(docs: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = _texts(batch), []
+            texts, sizes, flat = _texts(batch), [np.zeros(1, np.int64)], [np.zeros(0, np.uint32)]
             for a, b in tk.slices(texts):
                 owner, shingle, _ = shingles(tk.Batch(texts[a:b]), s.words)
                 who, what, weight = multiset(owner, shingle)
                 nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
                 marks = (tk.mix(np.repeat(what, weight) + _STEP * nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
-                who = np.repeat(who, weight)
-                order = np.lexsort((marks, who))
-                bounds = np.searchsorted(who, np.arange(b - a + 1))
-                marks = marks[order]
-                out += [marks[bounds[i] : bounds[i + 1]].tobytes() for i in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(out, pa.binary())], names=["digest", "bag"])
+                key = np.unique(np.repeat(who, weight).astype(np.uint64) << np.uint64(32) | marks)
+                sizes.append(np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=b - a))
+                flat.append(key.astype(np.uint32))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(flat).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), lists], names=["digest", "bag"])
 
-    return docs.select("digest", "text").mapInArrow(run, "digest long, bag binary")
+    return docs.select("digest", "text").mapInArrow(run, "digest long, bag array<int>")
 
 
-def _common(a: bytes, b: bytes) -> tuple[int, int]:
-    """Sizes of the intersection and the union of two sorted mark multisets."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    both = np.concatenate([np.unique(x), np.unique(y)])
-    both.sort(kind="stable")
-    same = int((both[1:] == both[:-1]).sum())
-    return same, len(both) - same
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    flat, offsets = np.asarray(column.values), np.asarray(column.offsets)
+    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two arrays of distinct marks."""
+    both = np.concatenate([x, y])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
 
 
 def verified(pairs: DataFrame, bag: DataFrame, s: Settings) -> DataFrame:
@@ -196,26 +203,26 @@ def verified(pairs: DataFrame, bag: DataFrame, s: Settings) -> DataFrame:
     not a group.
     """
     one = pairs.join(bag.select(F.col("digest").alias("a"), F.col("bag").alias("bag_a")), "a")
-    # The smaller bag must hold at least threshold of the larger.
     two = one.join(bag.select(F.col("digest").alias("b"), F.col("bag").alias("bag_b")), "b")
-    small, large = F.least(F.length("bag_a"), F.length("bag_b")), F.greatest(F.length("bag_a"), F.length("bag_b"))
+    # The smaller bag must hold at least threshold of the larger.
+    small, large = F.least(F.size("bag_a"), F.size("bag_b")), F.greatest(F.size("bag_a"), F.size("bag_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("bag_a"), batch.column("bag_b"), strict=True):
-                same, union = _common(x.as_py(), y.as_py())
-                keep.append(same >= s.threshold * union)
+            for x, y in zip(_lists(batch.column("bag_a")), _lists(batch.column("bag_b")), strict=True):
+                same = _common(x, y)
+                keep.append(same >= s.threshold * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return two.where(small >= large * s.threshold * 0.999).select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
+    return two.where(small >= large * s.threshold).select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node of a link table (a, b): comp is the least node reached.
 
     Labels spread along links and then jump to their label's label, so rounds grow with the
-    logarithm of a component's diameter; each round is checkpointed.
+    logarithm of a component's diameter; each round is written and read again.
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
@@ -238,23 +245,22 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     marked = cut(signed(docs, s))
     # Copies of a word sequence: one representative digest, named by the smallest doc_id.
     distinct = marked.where("digest is not null").groupBy("digest").agg(F.first("bands").alias("bands"))
-    entries = distinct.select("digest", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.min(F.struct(_order("digest", "band").alias("o"), F.col("digest").alias("leader"))).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "n", F.col("x.leader").alias("leader"))
-    members = cut(entries.join(buckets, "band"))
+    entries = distinct.select("digest", F.posexplode("bands").alias("place", "band"))
+    sizes = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut(entries.join(sizes, "band"))
+    # The leader of a bucket is its hub: the member with the most company over all bands.
+    company = met.groupBy("digest").agg(F.sum("n").alias("company"))
+    hub = F.max(F.struct("company", F.xxhash64("digest").alias("o"), F.col("digest").alias("leader")))
+    leaders = met.join(company, "digest").groupBy("band").agg(hub.alias("x")).select("band", F.col("x.leader").alias("leader"))
+    members = cut(met.join(leaders, "band"))
     bag = cut(_participants(docs, marked, members, s))
     pairs = members.where("digest <> leader").select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b")).distinct()
     links = cut(verified(pairs, bag, s))
     comp = components(links)
-    # Outsiders: not in the leader's class, in a bucket where someone else is left to compare with.
-    crowd = members.where("n > 2").join(comp.select(F.col("node").alias("digest"), "comp"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-    lead = comp.select(F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))
-    crowd = crowd.join(lead, "leader", "left").withColumn("lead_comp", F.coalesce("lead_comp", "leader"))
-    outside = crowd.where("comp <> lead_comp").select("band", F.col("digest").alias("x"), F.col("comp").alias("x_comp"))
-    met = outside.join(crowd.where("digest <> leader").select("band", F.col("digest").alias("y"), F.col("comp").alias("y_comp")), "band").where("x <> y and x_comp <> y_comp")
-    rest = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = cut(verified(rest, bag, s))
+    crowd = cut(_crowd(members.where("n > 2"), comp))
+    more = cut(verified(_close_pairs(crowd, s).union(_finer_pairs(crowd, s)).distinct(), bag, s))
     if more.limit(1).count():
-        links = cut(links.union(more))
+        links = cut(links.union(more).distinct())
         comp = components(links)
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("digest")).agg(F.count(F.lit(1)).alias("n_links"))
     # The classes of distinct sequences, then of rows.
@@ -266,9 +272,36 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     return known.union(marked.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links")))
 
 
-def _order(digest: str, band: str) -> Column:
-    """Leaders by one of four orders, so a class is held together from several sides."""
-    return F.xxhash64(F.col(digest), F.pmod(F.col(band), F.lit(4)))
+def _crowd(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """band, place, digest, n, comp, out of the members of buckets that hold several components."""
+    of = comp.select(F.col("node").alias("digest"), "comp")
+    lead = comp.select(F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))
+    crowd = members.join(of, "digest", "left").join(lead, "leader", "left").select("band", "place", "digest", "leader", "n", F.coalesce("comp", "digest").alias("comp"), F.coalesce("lead_comp", "leader").alias("lead_comp"))
+    crowd = crowd.withColumn("out", F.col("comp") != F.col("lead_comp"))
+    mixed = crowd.groupBy("band").agg(F.max("out").alias("any")).where("any").select("band")
+    return crowd.join(mixed, "band", "left_semi").where("digest <> leader").select("band", "place", "digest", "n", "comp", "out")
+
+
+def _close_pairs(crowd: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) of an outsider and a member of another component in a small bucket."""
+    few = crowd.where(F.col("n") <= s.small)
+    x = few.where("out").select("band", F.col("digest").alias("x"), F.col("comp").alias("x_comp"))
+    y = few.select("band", F.col("digest").alias("y"), F.col("comp").alias("y_comp"))
+    met = x.join(y, (x["band"] == y["band"]) & (F.col("x_comp") != F.col("y_comp")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _finer_pairs(crowd: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) of a finer bucket's two leaders and its members of other components."""
+    large = crowd.where(F.col("n") > s.small).groupBy("digest").agg(F.first("comp").alias("comp"), F.map_from_entries(F.collect_set(F.struct("place", "band"))).alias("at"))
+    band = lambda i: F.try_element_at("at", F.lit(i % s.bands))
+    twos = F.array(*(F.when(band(i).isNotNull() & band(i + d).isNotNull(), F.xxhash64(band(i), band(i + d))) for d in range(1, s.reach + 1) for i in range(s.bands)))
+    fine = large.select("digest", "comp", F.explode(F.array_compact(twos)).alias("key"))
+    who = F.struct(F.xxhash64("key", "digest").alias("o"), F.col("digest").alias("leader"), F.col("comp").alias("lead_comp"))
+    leads = fine.groupBy("key").agg(F.min(who).alias("x"), F.max(who).alias("y"))
+    met = cut(fine.join(leads, "key"))
+    sides = [met.where(f"comp <> {k}.lead_comp").select(F.least("digest", f"{k}.leader").alias("a"), F.greatest("digest", f"{k}.leader").alias("b")) for k in "xy"]
+    return sides[0].union(sides[1]).distinct()
 
 
 def _participants(docs: DataFrame, marked: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
