@@ -144,3 +144,21 @@ def morans_i(points: DataFrame, radius: float = 100.0) -> DataFrame:
     num = lag.agg(F.sum(F.col("zi") * F.col("lag")).alias("num"), F.count(F.lit(1)).alias("w"))
     den = z.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("z") * F.col("z")).alias("den"))
     return num.join(F.broadcast(den)).select((F.col("n") / F.col("w") * F.col("num") / F.col("den")).alias("morans_i"))
+
+
+def nearest_of(points: DataFrame, others: DataFrame, cell: float) -> DataFrame:
+    """id, d: distance of each point to the nearest of the others, by growing rings of grid cells."""
+    if not others.limit(1).count():
+        return points.select("id", F.lit(None).cast("double").alias("d"))
+    base = others.select(F.col("row").cast("double").alias("r1"), F.col("col").cast("double").alias("c1"), F.floor(F.col("row") / cell).alias("a"), F.floor(F.col("col") / cell).alias("b"))
+    todo, done, rings = points.select("id", F.col("row").cast("double").alias("r0"), F.col("col").cast("double").alias("c0")), None, 1
+    while True:
+        ring = F.sequence(F.lit(-rings), F.lit(rings))
+        cells = F.explode(F.flatten(F.transform(ring, lambda i: F.transform(ring, lambda j: F.struct((F.floor(F.col("r0") / cell) + i).alias("a"), (F.floor(F.col("c0") / cell) + j).alias("b"))))))
+        d = F.sqrt((F.col("r0") - F.col("r1")) * (F.col("r0") - F.col("r1")) + (F.col("c0") - F.col("c1")) * (F.col("c0") - F.col("c1")))
+        near = todo.select("id", "r0", "c0", cells.alias("x")).select("id", "r0", "c0", "x.a", "x.b").join(base, ["a", "b"]).groupBy("id").agg(F.min(d).alias("d")).where(F.col("d") <= rings * cell)
+        done = near if done is None else done.unionByName(near)
+        todo = todo.join(near, "id", "left_anti")
+        if not todo.limit(1).count():
+            return done
+        rings *= 2
