@@ -3,8 +3,8 @@
 A document is its token ids and one closing id.  Overlong documents are first cut into full
 windows, each a sequence of its own.  What remains of each document is packed by best-fit
 decreasing: longest first, each into the tightest open window that holds it, found in a segment
-tree over remaining capacities.  Pieces are checkpointed, then dealt to groups of about
-``group_rows`` by a hash of their place in the checkpoint (so neither a long document nor a
+tree over remaining capacities.  Pieces are written to a table, then dealt to groups of about
+``group_rows`` by a hash of their place in it (so neither a long document nor a
 repeated doc_id can fill a group), each packed on its own: groups run side by side, memory is
 bounded, and a lost executor's groups are packed again alike.
 

@@ -42,7 +42,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 class Settings:
     bits: int = 20
     scale: float = 12.0
-    max_training_rows: int = 8000
+    max_training_rows: int = 4000
     epochs: int = 3
     alpha: float = 0.3
     beta: float = 1.0
@@ -120,7 +120,7 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> np.ndar
     weights = lambda at: np.where(np.abs(z[at]) <= s.l1, 0.0, -(z[at] - np.sign(z[at]) * s.l1) / ((s.beta + np.sqrt(n[at])) / s.alpha + s.l2))
     for _ in range(s.epochs):
         for label, slots, values in rows:
-            at, x = np.append(slots, size - 1), np.append(values * s.scale, 1.0)
+            at, x = np.append(slots.astype(np.int64), size - 1), np.append(values * s.scale, 1.0)
             w = weights(at)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
             grown = n[at] + g * g
@@ -140,10 +140,14 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     sample = known.orderBy(F.xxhash64("key"), "key").limit(s.max_training_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("key"), "text").join(F.broadcast(sample), "key")
     found = sparse_rows(texts, s).toArrow()
-    rows = list(zip(found["key"].to_pylist(), found["label"].to_pylist(), found["slots"].to_pylist(), found["values"].to_pylist(), strict=True))
-    rows.sort(key=lambda r: (hash((r[0] * 0x9E3779B97F4A7C15) & (1 << 61) - 1), r[2]))
-    rows = [r for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]]  # a repeated document teaches once
-    return ftrl([(r[1], np.frombuffer(r[2], np.uint32).astype(np.int64), np.frombuffer(r[3], np.float32).astype(np.float64)) for r in rows], s)
+    order = sorted(range(found.num_rows), key=lambda i: ((keys[i] * 0x9E3779B97F4A7C15) & ((1 << 61) - 1), keys[i])) if (keys := found["key"].to_pylist()) else []
+    order = [i for k, i in enumerate(order) if not k or keys[i] != keys[order[k - 1]]]  # a repeated document teaches once
+    labels_, slots, values = (found[c].combine_chunks() for c in ("label", "slots", "values"))
+
+    def row(i: int) -> tuple[int, np.ndarray, np.ndarray]:
+        return labels_[i].as_py(), np.frombuffer(slots[i].as_buffer(), np.uint32), np.frombuffer(values[i].as_buffer(), np.float32)
+
+    return ftrl([row(i) for i in order], s)
 
 
 def scores(texts: list[str], weights: np.ndarray, bits: int) -> np.ndarray:
@@ -154,10 +158,16 @@ def scores(texts: list[str], weights: np.ndarray, bits: int) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out + weights[-1], -35, 35)))
 
 
+def _sent(docs: DataFrame, weights: np.ndarray):
+    """The weights, 4 bytes for each of the fixed number of slots, as a broadcast."""
+    pa.default_memory_pool().release_unused()  # the training rows are done with
+    return docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``."""
     s = settings or Settings()
-    weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, s).astype(np.float32))
+    weights = _sent(docs, train(docs, labels, s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +180,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings | None
 def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
     s = settings or Settings()
-    weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, s).astype(np.float32))
+    weights = _sent(docs, train(docs, labels, s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
