@@ -14,8 +14,9 @@ Phase 3: what remains is scored exactly, and the k best are kept.
 
 Both passes compute blocks anew rather than keep them; what is shuffled after a block is k rows per
 query and slice or per query.  Defined results: vectors that are null, empty of a vec_id, or hold a
-null or non-finite component take no part; shorter vectors count as padded with zeros; of rows
-that repeat a vec_id the one with the smallest vector takes part; ties go to the smaller vec_id.
+null or non-finite component (or one of 2**44 or more, whose scores would not fit a long) take no
+part; shorter vectors count as padded with zeros; of rows that repeat a vec_id the one with the
+smallest vector takes part; ties go to the smaller vec_id.
 """
 
 from __future__ import annotations
