@@ -39,3 +39,11 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def spare(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names for helper columns, changed until none is a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while any(n.lower() in taken for n in names):
+        names = tuple(f"_{n}" for n in names)
+    return names

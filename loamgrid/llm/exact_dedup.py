@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import shuffle_width, text_or_empty
+from loamgrid.llm.common import shuffle_width, spare, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 16
@@ -166,6 +166,7 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     A text travels once, keyed by its digest and doc_id together, so copies don't meet in one task.
     """
     key = lambda digest, doc_id: F.concat_ws(":", F.hex(digest), F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")))
-    kept = live_index(digests(docs)).select(key(F.col("digest"), F.col("keep_id")).alias("__key"))
-    rows = docs.withColumn("__key", key(F.unhex(F.sha2(normalised(text_or_empty()), 256)), F.col("doc_id")))
-    return rows.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    (name,) = spare(docs, "__key")
+    kept = live_index(digests(docs)).select(key(F.col("digest"), F.col("keep_id")).alias(name))
+    rows = docs.withColumn(name, key(F.unhex(F.sha2(normalised(text_or_empty()), 256)), F.col("doc_id")))
+    return rows.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

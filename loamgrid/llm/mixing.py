@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamgrid.llm.common import shuffle_width, text_or_empty
+from loamgrid.llm.common import shuffle_width, spare, text_or_empty
 
 BUCKET_BITS = 12
 CHUNK = 4096
@@ -122,7 +122,8 @@ def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, *, bloc
 
 def mixed_rows(docs: DataFrame, targets: dict[str | None, float] | None = None, *, block_chars: int = 65_536, resolution: int = 256, power: float = 0.5, seed: int = 7) -> DataFrame:
     """All rows and columns of ``docs`` in mixed order: partitions are ranges of slots, sorted."""
-    placed = _placed(docs, targets, block_chars, resolution, power, seed).select(F.col("key").alias("__key"), F.col("slot").alias("__slot"), F.col("h").alias("__h"))
-    rows = docs.withColumn("__key", _unit()).join(placed, "__key")
+    key, slot, h = spare(docs, "__key", "__slot", "__h")
+    placed = _placed(docs, targets, block_chars, resolution, power, seed).select(F.col("key").alias(key), F.col("slot").alias(slot), F.col("h").alias(h))
+    rows = docs.withColumn(key, _unit()).join(placed, key)
     n = shuffle_width(docs.sparkSession)
-    return rows.repartitionByRange(n, "__slot", "__h").sortWithinPartitions("__slot", "__h").drop("__key", "__slot", "__h")
+    return rows.repartitionByRange(n, slot, h).sortWithinPartitions(slot, h).drop(key, slot, h)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.llm import textkernel as tk
-from loamgrid.llm.common import cut, text_or_empty
+from loamgrid.llm.common import cut, spare, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -316,5 +316,6 @@ def _participants(docs: DataFrame, marked: DataFrame, members: DataFrame, s: Set
 
 def keep_one_of_each(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their class, with all their columns."""
-    named = near_duplicates(docs, settings).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(named, docs["doc_id"].cast("long").eqNullSafe(named["__keep"]), "left_semi")
+    (keep,) = spare(docs, "__keep")
+    named = near_duplicates(docs, settings).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(keep)).distinct()
+    return docs.join(named, docs["doc_id"].cast("long").eqNullSafe(named[keep]), "left_semi")

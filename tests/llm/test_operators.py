@@ -289,3 +289,11 @@ def test_pipeline_stages(spark, sf_dir):
         assert set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars"}
     kept = {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert {r["doc_id"] for r in p.run(spark, sf_dir).select("doc_id").distinct().collect()} == kept and kept
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    d = docs_of(spark, ["a b c", "a b c", None, "d e"]).withColumns({c: F.lit(1) for c in ("__key", "__slot", "__h", "__keep", "key", "bag", "comp")})
+    for stage in (exact_dedup.keep_first_copies, near_dedup.keep_one_of_each, mixing.mixed_rows):
+        assert stage(d).columns == d.columns and stage(d).count() in (3, 4)
