@@ -17,10 +17,12 @@ bucket, where each is paired with the bucket's leader, not with everyone; the le
 that meets most others over all bands, the hub of a group of copies.  Pairs are verified by the
 overlap of the whole multisets, and links give connected components.  A bucket may then still hold
 outsiders, members of other components than the leader's.  In buckets of up to ``small`` members
-each outsider is verified against every member of another component.  In larger ones, where that
-would be all pairs of a group, members are dealt to finer buckets, one for each two neighbouring
-bands that they share, and each finer bucket gets two leaders of its own.  A link that is missed by
-all leaders changes no class unless nothing else connects its two texts.
+each outsider is verified against every member of another component.  In larger ones, members
+are first dealt to finer buckets, one for each two neighbouring bands that they share, and each
+finer bucket gets two leaders of its own.  The outsiders that still remain meet all members of
+other components block by block: a block's overlaps are counted as one matrix product, so all pairs
+are compared but only links become rows.  So every two texts that share a band are in one class or
+have been compared.
 
 Defined results: null text counts as empty; a text without words is in a class of its own; a class
 is named by its smallest doc_id (a null doc_id only if there is no other); rows that repeat a
@@ -49,6 +51,7 @@ class Settings:
     rows: int = 4
     small: int = 64
     reach: int = 2
+    block: int = 1024
 
     @property
     def places(self) -> int:
@@ -262,6 +265,10 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     if more.limit(1).count():
         links = cut(links.union(more).distinct())
         comp = components(links)
+    rest = cut(_block_links(_crowd(members.where(F.col("n") > s.small), comp), bag, s))
+    if rest.limit(1).count():
+        links = cut(links.union(rest).distinct())
+        comp = components(links)
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("digest")).agg(F.count(F.lit(1)).alias("n_links"))
     # The classes of distinct sequences, then of rows.
     size = marked.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"))
@@ -304,6 +311,64 @@ def _finer_pairs(crowd: DataFrame, s: Settings) -> DataFrame:
     return sides[0].union(sides[1]).distinct()
 
 
+def _block_links(crowd: DataFrame, bag: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) of the outsiders and the members of other components in large buckets.
+
+    Outsiders and members are dealt to blocks of about ``block`` by their digest, and each pair of
+    blocks is one group; a text is sent once for each block of the other side.
+    """
+    crowd = cut(crowd)
+    sizes = crowd.groupBy("band").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("out").cast("long")).alias("outs"))
+    sizes = sizes.select("band", F.ceil(F.col("outs") / s.block).alias("kx"), F.ceil(F.col("all") / s.block).alias("ky"))
+    dealt = crowd.join(sizes, "band").withColumn("h", F.xxhash64("digest"))
+    steps = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    x = dealt.where("out").select("band", F.pmod("h", "kx").alias("bx"), steps("ky").alias("by"), F.lit(0).alias("side"), "digest", "comp")
+    y = dealt.select("band", steps("kx").alias("bx"), F.pmod("h", "ky").alias("by"), F.lit(1).alias("side"), "digest", "comp")
+
+    def run(rows: pa.Table) -> pa.Table:
+        side, digest, comp = (rows.column(c).to_numpy() for c in ("side", "digest", "comp"))
+        sets = [b for chunk in rows.column("bag").chunks for b in _lists(chunk)]
+        i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = _linked([sets[k] for k in i], [sets[k] for k in j], s.threshold)
+        a, b = i[a], j[b]
+        other = comp[a] != comp[b]
+        a, b = digest[a[other]], digest[b[other]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    met = x.union(y).join(bag, "digest")
+    return met.groupBy("band", "bx", "by").applyInArrow(run, "a long, b long").distinct()
+
+
+def _linked(xs: list[np.ndarray], ys: list[np.ndarray], threshold: float, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all sets of ``xs`` and ``ys`` that reach the threshold.
+
+    Overlaps are products of 0/1 matrices over the marks that both sides hold, ``width`` marks at a
+    time; counts are whole numbers below 2**24 in each product and are summed as integers.
+    """
+    if not xs or not ys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n, m = (np.array([len(v) for v in side]) for side in (xs, ys))
+    shared = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+    same = np.zeros((len(xs), len(ys)), np.int64)
+    sides = []
+    for side, size in ((xs, n), (ys, m)):
+        flat, row = np.concatenate(side), np.repeat(np.arange(len(side)), size)
+        at = np.searchsorted(shared, flat)
+        on = at < len(shared)
+        on[on] = shared[at[on]] == flat[on]
+        order = np.argsort(at[on], kind="stable")
+        sides.append((row[on][order], at[on][order]))
+    for start in range(0, len(shared), width):
+        ones = []
+        for (row, at), k in zip(sides, (len(xs), len(ys)), strict=True):
+            a, b = np.searchsorted(at, [start, start + width])
+            one = np.zeros((k, min(width, len(shared) - start)), np.float32)
+            one[row[a:b], at[a:b] - start] = 1
+            ones.append(one)
+        same += (ones[0] @ ones[1].T).astype(np.int64)
+    return np.nonzero(same >= threshold * (n[:, None] + m[None, :] - same))
+
+
 def _participants(docs: DataFrame, marked: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
     """Bags of the representatives that are in some bucket, from one row of each."""
     wanted = members.select("digest").distinct()

@@ -196,6 +196,27 @@ def test_near_dedup_classes(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_classes(texts))) and kept.columns == docs_of(spark, texts).columns
 
 
+def test_near_dedup_compares_all_of_a_large_bucket(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for family in range(12):
+        common = dict.fromkeys(rng.sample(range(120), 3), f"f{family}")
+        for k in range(4):  # near their own family, far from the others
+            own = common | {rng.randrange(120): f"n{family}x{k}"}
+            texts.append(" ".join(own.get(i, w) for i, w in enumerate(base)))
+    s = near_dedup.Settings(bands=1, rows=1, small=2, block=8)
+    owner, key, _ = near_dedup.shingles(tk.Batch(texts), s.words)
+    band = near_dedup.band_keys(near_dedup.signatures(*near_dedup.multiset(owner, key), len(texts), 1), 1)[:, 0]
+    sets = [set(key[owner == i].tolist()) for i in range(len(texts))]
+    want = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        if band[i] == band[j] and len(sets[i] & sets[j]) >= s.threshold * len(sets[i] | sets[j]):
+            want = [min(want[i], want[j]) if c in (want[i], want[j]) else c for c in want]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs_of(spark, texts), s).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(6)
     x, y = {i: int(w) for i, w in enumerate(rng.integers(1, 9, 60))}, {i + 20: int(w) for i, w in enumerate(rng.integers(1, 9, 60))}
