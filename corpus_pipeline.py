@@ -15,7 +15,7 @@ from loamgrid.llm.common import shared_folder, table
 from loamgrid.llm.exact_dedup import keep_first_copies
 from loamgrid.llm.mixing import mixed_rows
 from loamgrid.llm.near_dedup import keep_one_of_each
-from loamgrid.llm.packing import pack
+from loamgrid.llm.packing import pack_in_order
 from loamgrid.llm.quality import keep_good
 from loamgrid.shipping import ship
 
@@ -41,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
-    return pack(docs)
+    """The pieces of all documents in sequences of 2048 tokens, which follow the mixed order."""
+    return pack_in_order(docs)
 
 
 STAGES = [

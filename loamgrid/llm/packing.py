@@ -6,7 +6,9 @@ decreasing: longest first, each into the tightest open window that holds it, fou
 tree over remaining capacities.  Pieces are written to a table, then dealt to groups of about
 ``group_rows`` by a hash of their place in it (so neither a long document nor a
 repeated doc_id can fill a group), each packed on its own: groups run side by side, memory is
-bounded, and a lost executor's groups are packed again alike.
+bounded, and a lost executor's groups are packed again alike.  Where the documents' order is a
+decision (``pack_in_order``), groups are runs of ``group_rows`` pieces in that order instead, and
+sequence_id ascends with the order: by group, then by the first piece of each sequence.
 
 Defined results: null text counts as empty (a document of the closing id alone); a row of the input
 is a document, so repeated doc_ids give pieces each; equal lengths go by doc_id, then start; a
@@ -25,9 +27,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loamgrid.llm import textkernel as tk
-from loamgrid.llm.common import cut
+from loamgrid.llm.common import cut, spare
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -122,8 +125,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pieces(docs: DataFrame, path: str | None = None, window: int = 2048, closing_id: int = 1) -> DataFrame:
-    """Every document cut into full windows and a rest: doc_id, start, length, crc, doc_tokens."""
+def pieces(docs: DataFrame, path: str | None = None, window: int = 2048, closing_id: int = 1, order: tuple[str, ...] = ()) -> DataFrame:
+    """Every document cut into full windows and a rest: doc_id, start, length, crc, doc_tokens.
+
+    ``order`` names long columns of ``docs`` that each piece keeps.
+    """
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,15 +137,18 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = 2048, closing
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             rows: list[list] = [[], [], [], [], []]
-            for doc_id, tokens in zip(ids, enc.encode(["" if t is None else t for t in batch.column("text").to_pylist()]), strict=True):
+            owner: list[int] = []
+            for i, (doc_id, tokens) in enumerate(zip(ids, enc.encode(["" if t is None else t for t in batch.column("text").to_pylist()]), strict=True)):
                 data = np.append(tokens, closing_id).astype("<u4")
                 for start in range(0, len(data), window):
                     part = data[start : start + window]
                     for col, value in zip(rows, (doc_id, start, len(part), zlib.crc32(part.tobytes()), len(data)), strict=True):
                         col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    owner.append(i)
+            kept = [batch.column(c).take(pa.array(owner, pa.int64())) for c in order]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows] + kept, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *order])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *order).mapInArrow(run, ", ".join([PIECES, *(f"{c} long" for c in order)]))
 
 
 class OpenWindows:
@@ -210,3 +219,43 @@ def pack_pieces(cut_pieces: DataFrame, window: int, group_rows: int) -> DataFram
 
     keyed = cut_pieces.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_groups)))
     return keyed.groupBy("group").applyInPandas(run, schema)
+
+
+def pack_in_order(docs: DataFrame, path: str | None = None, window: int = 2048, closing_id: int = 1, group_rows: int = 4096) -> DataFrame:
+    """Pieces of all documents of a Parquet table, packed by runs of the table's row order.
+
+    The order is that of part numbers and of rows within a file, as a sorted table was written.
+    """
+    part, file, row = spare(docs, "__part", "__file", "__row")
+    name = F.col("_metadata.file_name")
+    number = F.coalesce(F.expr("try_cast(nullif(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1), '') as long)"), F.lit(-1).cast("long"))
+    placed = docs.withColumn(part, number).withColumn(row, F.col("_metadata.row_index").cast("long")).withColumn(file, F.xxhash64(name))
+    return pack_runs(cut(pieces(placed, path, window, closing_id, (part, file, row))), (part, file, row), window, group_rows)
+
+
+def pack_runs(cut_pieces: DataFrame, order: tuple[str, ...], window: int, group_rows: int) -> DataFrame:
+    """Packs pieces by runs of about ``group_rows`` in ``order``, whose last column counts in a file.
+
+    A piece's place is a two-level sum: the pieces of earlier files and row chunks, then its number
+    within its chunk.
+    """
+    *file, row = order
+    chunk = F.expr(f"{row} div {group_rows}").alias("chunk")
+    sizes = cut_pieces.groupBy(*file, chunk).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(*file, "chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chunk
+    starts = sizes.select(*file, "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy(*file, "chunk").orderBy(row, "start")
+    numbered = cut_pieces.withColumn("chunk", chunk).withColumn("nth", F.row_number().over(inside) - 1)
+    placed = numbered.join(starts, [*file, "chunk"]).withColumn("place", F.col("first") + F.col("nth"))
+    schema = PIECES + ", sequence_id long, offset long"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        group = int(pdf["group"].iloc[0])
+        pdf = pdf.drop(columns="group").sort_values(["length", "place"], ascending=[False, True], kind="stable", ignore_index=True)
+        at, offset = best_fit_decreasing(pdf["length"].to_numpy(), window)
+        first = pdf["place"].groupby(at).min().to_numpy()
+        rank = np.argsort(np.argsort(first))
+        return pdf.drop(columns="place").assign(sequence_id=(group << 32) | rank[at], offset=offset)
+
+    keyed = placed.withColumn("group", F.expr(f"place div {group_rows}")).select(*(c.split()[0] for c in PIECES.split(", ")), "place", "group")
+    return keyed.groupBy("group").applyInPandas(run, schema)

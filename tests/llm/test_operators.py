@@ -117,6 +117,18 @@ def test_packing_round_trip(spark):
         assert at <= 256
 
 
+def test_pipeline_sequences_follow_the_mixed_order(spark, tmp_path):
+    import corpus_pipeline as p
+
+    d = docs_of(spark, [f"{'word ' * (50 + k % 700)}{k}" for k in range(9000)]).selectExpr("doc_id", "text", "if(doc_id < 3000, 'a', 'b') source")
+    mixing.mixed_rows(d, {"a": 1.0, "b": 1.0}, block_chars=2000).write.parquet(f"{tmp_path}/mixed")
+    rows = p.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    assert sorted({r["doc_id"] for r in rows}) == list(range(9000))
+    first = [r for r in rows if r["sequence_id"] < 1 << 32]  # both sources have data here: half of the tokens are each one's
+    assert len(first) == 4096
+    assert abs(sum(r["length"] for r in first if r["doc_id"] < 3000) / sum(r["length"] for r in first) - 0.5) < 0.05
+
+
 def test_best_fit_against_a_plain_search():
     rng = np.random.default_rng(2)
     lengths = np.sort(rng.integers(1, 65, 500))[::-1]
