@@ -1,17 +1,19 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions alone.
 
 Each source's documents, in the order of a hash, are cut into blocks of ``block_chars`` characters.
-A target weight becomes a whole number of slots in a round of about ``resolution`` slots; round k
-runs a source's blocks from min(n, q k) up to min(n, q (k + 1)).  In a round of length R, the j-th
-of a source's c blocks is released at floor(j R / c) and due at ceil((j + 1) R / c); in each slot
-the released block that is due first runs.  So inside a round no source is ever a block or more
-away from its share, and at each round's end every source is exactly at it.  When a source has run
-out, the rounds get shorter and the others go on in their proportions; nothing is dropped and
+A perfectly even mixture gives each source that has blocks left a share of every slot in proportion
+to its exact target weight.  A source's j-th block is released at the slot in which the even mixture
+starts it and due at the slot in which it ends it; while no source has run out these are
+floor(j / w) and ceil((j + 1) / w).  In each slot the released block that is due first runs, so no
+source is ever a block or more away from the even mixture, however long the input and however small
+the weight.  When a source has run out the others go on in their proportions; nothing is dropped and
 nothing repeats.
 
-Rounds don't depend on each other, so they are scheduled side by side: one fold over the slots of
-a round for each row.  Places within a source are two-level sums (hash buckets, then rows within a
-bucket), so a source with a third of all rows is spread like any other.
+One fold over all slots carries only each source's count and keeps it at the start of every window
+of ``resolution`` slots (a slot is ``block_chars`` characters, so it is short beside the rows); from
+these counts the windows are laid out side by side, one row each.  Places within a source are
+two-level sums (hash buckets, then rows within a bucket), so a source with a third of all rows is
+spread like any other.
 
 Defined results: null text counts as empty; a document's size is its characters plus one; a null
 source is a source of its own; rows that repeat doc_id, source and text share one place; sources
@@ -56,8 +58,8 @@ def blocks(docs: DataFrame, block_chars: int, seed: int) -> DataFrame:
     return placed.select("key", "src", "size", "h", F.expr(f"(start + run) div {block_chars}").alias("block"))
 
 
-def sources(docs: DataFrame, targets: dict[str | None, float] | None, block_chars: int, resolution: int, power: float) -> DataFrame:
-    """src, n (blocks), q (slots of a full round)."""
+def sources(docs: DataFrame, targets: dict[str | None, float] | None, block_chars: int, power: float) -> DataFrame:
+    """src, n (blocks), w (share of the slots)."""
     rows = docs.select(_unit().alias("key"), _source().alias("src"), (F.length(text_or_empty()) + 1).cast("long").alias("size"))
     total = rows.groupBy("src").agg(F.sum("size").alias("total"))
     if targets:
@@ -68,7 +70,7 @@ def sources(docs: DataFrame, targets: dict[str | None, float] | None, block_char
         weight = F.pow(F.col("total").cast("double"), F.lit(power))
     weighed = total.withColumn("w", weight)
     share = F.col("w") / F.sum("w").over(Window.partitionBy())  # a row for each source
-    return weighed.select("src", F.expr(f"(total - 1) div {block_chars} + 1").alias("n"), F.greatest(F.lit(1), F.round(share * resolution)).cast("long").alias("q"))
+    return weighed.select("src", F.expr(f"(total - 1) div {block_chars} + 1").alias("n"), share.alias("w"))
 
 
 def _edf(runs: Column, length: Column) -> Column:
@@ -89,8 +91,53 @@ def _edf(runs: Column, length: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0).cast("long"), length - 1), start, slot, lambda acc: acc["out"])
 
 
+def _head(srcs: Column, s: Column, d: Column) -> Column:
+    """struct<d, rel, due>: block d of source s with its release and deadline on the slot line."""
+    at = lambda time: F.aggregate(srcs, F.lit(0.0), lambda acc, o: acc + F.least(o["n"].cast("double"), o["w"] * time))
+    # Rounding errors of the sums must not move a whole number to its neighbour.
+    return F.struct(d.alias("d"), F.floor(at(d / s["w"]) + 1e-9).alias("rel"), F.ceil(at((d + 1) / s["w"]) - 1e-9).alias("due"))
+
+
+def _heads(srcs: Column, done: Column) -> Column:
+    return F.transform(done, lambda d, i: _head(srcs, F.get(srcs, i), d))
+
+
+def _run_first(srcs: Column, heads: Column, t: Column, then) -> Column:
+    """``then(first, heads after it)``, first being the struct<due, i, d> that runs in slot t."""
+    one = lambda h, i: F.struct(h["due"].alias("due"), i.alias("i"), h["d"].alias("d"))
+    left = lambda h, i: h["d"] < F.get(srcs, i)["n"]
+    released = F.array_min(F.transform(heads, lambda h, i: F.when(left(h, i) & (h["rel"] <= t), one(h, i))))
+    first = F.coalesce(released, F.array_min(F.transform(heads, lambda h, i: F.when(left(h, i), one(h, i)))))
+    after = lambda f: F.transform(heads, lambda h, i: F.when(i == f["i"], _head(srcs, F.get(srcs, i), h["d"] + 1)).otherwise(h))
+    return F.get(F.transform(F.array(first), lambda f: then(f, after(f))), F.lit(0))
+
+
+def schedule_targets(plan: DataFrame, window: int) -> DataFrame:
+    """src, block, slot: the global slot of every block of a table of (src, n, w)."""
+    one = plan.groupBy().agg(F.array_sort(F.collect_list(F.struct("src", F.col("n").cast("long").alias("n"), F.col("w").cast("double").alias("w")))).alias("srcs"), F.sum("n").alias("total")).where("total > 0")
+    srcs, total = F.col("srcs"), F.col("total")
+    slots = lambda k: F.sequence(k * window, F.least((k + 1) * window, total) - 1)
+    zero = F.transform(srcs, lambda _: F.lit(0).cast("long"))
+    start = F.struct(_heads(srcs, zero).alias("heads"), F.array().cast("array<array<bigint>>").alias("at"))
+
+    def step(acc: Column, k: Column) -> Column:
+        heads = F.aggregate(slots(k), acc["heads"], lambda h, t: _run_first(srcs, h, t, lambda _, after: after))
+        return F.struct(heads.alias("heads"), F.concat(acc["at"], F.array(F.transform(acc["heads"], lambda h: h["d"]))).alias("at"))
+
+    starts = F.aggregate(F.sequence(F.lit(0).cast("long"), F.expr(f"(total - 1) div {window}")), start, step, lambda acc: acc["at"])
+    windows = one.select("srcs", "total", F.posexplode(starts).alias("k", "done")).withColumn("k", F.col("k").cast("long"))
+    begin = F.struct(_heads(srcs, F.col("done")).alias("heads"), F.array().cast("array<struct<i:int,d:bigint>>").alias("out"))
+
+    def lay(acc: Column, t: Column) -> Column:
+        ran = lambda f: F.concat(acc["out"], F.array(F.struct(f["i"].alias("i"), f["d"].alias("d"))))
+        return _run_first(srcs, acc["heads"], t, lambda f, after: F.struct(after.alias("heads"), ran(f).alias("out")))
+
+    laid = windows.repartition(shuffle_width(plan.sparkSession), "k").select("srcs", "k", F.posexplode(F.aggregate(slots(F.col("k")), begin, lay, lambda acc: acc["out"])).alias("t", "x"))
+    return laid.select(F.get("srcs", F.col("x.i"))["src"].alias("src"), F.col("x.d").alias("block"), (F.col("k") * window + F.col("t")).alias("slot"))
+
+
 def schedule(plan: DataFrame) -> DataFrame:
-    """src, block, slot: the global slot of every block of a table of (src, n, q)."""
+    """src, block, slot of every block of a table of (src, n, q), q whole slots of each round."""
     ran = lambda k: F.least(F.col("n"), F.col("q") * k)
     rounds = plan.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div q"))))
     rounds = rounds.select("k", F.struct("src", ran(F.col("k")).alias("first"), (ran(F.col("k") + 1) - ran(F.col("k"))).alias("c")).alias("run"))
@@ -106,7 +153,7 @@ def schedule(plan: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame, targets, block_chars: int, resolution: int, power: float, seed: int) -> DataFrame:
-    slots = schedule(sources(docs, targets, block_chars, resolution, power))
+    slots = schedule_targets(sources(docs, targets, block_chars, power), resolution)
     return blocks(docs, block_chars, seed).join(slots, ["src", "block"])
 
 

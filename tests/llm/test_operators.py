@@ -260,6 +260,18 @@ def test_pfair_against_a_simulation(spark):
         assert all(abs(seen[s] - (t + 1) * q / 100) < 1 for s, _, q in plan)
 
 
+def test_mixing_follows_exact_targets(spark):
+    plan = {"a": (1600, 0.5347), "b": (400, 0.3341), "c": (300, 0.1302), "d": (3, 0.001)}
+    rows = mixing.schedule_targets(spark.createDataFrame([(s, *x) for s, x in plan.items()], "src string, n long, w double"), 64).collect()
+    rows.sort(key=lambda r: r["slot"])
+    assert [r["slot"] for r in rows] == list(range(2303))
+    assert all([r["block"] for r in rows if r["src"] == s] == list(range(n)) for s, (n, _) in plan.items())
+    seen = Counter()
+    for t, r in enumerate(rows[:1100], 1):  # no source has run out
+        seen[r["src"]] += 1
+        assert all(abs(seen[s] - t * w) < 1 for s, (_, w) in plan.items())
+
+
 def test_mixing_keeps_every_row(spark):
     texts = odd_texts() + ["again", "again"]
     d = docs_of(spark, texts, [*range(len(texts) - 2), 900, 900])
