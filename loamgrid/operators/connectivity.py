@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -16,16 +17,17 @@ from loamgrid.operators.stencil import grid_size, spread
 _STEPS = [(r, c, math.hypot(r, c)) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)]
 
 
-def cost_distance(resist: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def cost_distance(resist: DataFrame, seeds: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """row, col, source, cost: least cost from each source's pixels over (row, col, r).
 
     A step costs its length times the mean resistance of its two pixels.  Costs relax outwards from
     the pixels that changed in the last round, so each round's join holds the frontier alone.
+    Rounds go on until nothing changes; beyond ``most_rounds``, if given, an unfinished table is refused.
     """
     size = grid_size(resist)
     best = cut(seeds.select("row", "col", "source", F.lit(0.0).alias("cost")))
     front = best
-    for _ in range(most_rounds):
+    for _ in count() if most_rounds is None else range(most_rounds):
         moved = spread(front.join(resist, ["row", "col"]).withColumnRenamed("r", "ra"), [(-r, -c, k) for r, c, k in _STEPS], reflect=False, size=size)
         reach = moved.join(resist, ["row", "col"]).groupBy("row", "col", "source").agg(F.min(F.col("cost") + F.col("k") * (F.col("ra") + F.col("r")) / 2).alias("new"))
         better = reach.join(best, ["row", "col", "source"], "left").where(F.col("cost").isNull() | (F.col("new") < F.col("cost") - 1e-12))
@@ -33,7 +35,7 @@ def cost_distance(resist: DataFrame, seeds: DataFrame, most_rounds: int = 10_000
         if not front.limit(1).count():
             return best
         best = cut(best.join(front.select("row", "col", "source"), ["row", "col", "source"], "left_anti").unionByName(front))
-    return best
+    raise ValueError(f"cost_distance isn't finished after {most_rounds} rounds")
 
 
 def functional_edges(costs: DataFrame, seeds: DataFrame, mobility: float) -> DataFrame:

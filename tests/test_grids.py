@@ -62,3 +62,15 @@ def test_sequences(spark):
 def test_empty_grid(spark):
     e = spark.createDataFrame([], "row long, col long, cls long")
     assert K.components(e).count() == 0 and S.median_filter(e).count() == 0 and L.aggregation_index(e).count() == 0
+
+
+def test_cost_distance_is_never_cut_short(spark):
+    import pytest
+
+    from loamgrid.operators import connectivity as G
+
+    line = spark.createDataFrame([(0, c, 1.0) for c in range(6)], "row long, col long, r double")
+    seed = spark.createDataFrame([(0, 0, 1)], "row long, col long, source long")
+    with pytest.raises(ValueError, match="isn't finished"):
+        G.cost_distance(line, seed, most_rounds=2)
+    assert {r["col"]: r["cost"] for r in G.cost_distance(line, seed).collect()} == {c: float(c) for c in range(6)}
