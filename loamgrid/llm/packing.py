@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,8 +45,9 @@ def default_path() -> str:
 class Encoder:
     """Ids of whole texts as the library gives them; each distinct pre-token is encoded once.
 
-    The memo holds only texts of code points below 0x250 (but for the dotted capital I), where
-    normalisation is the lower case of single code points; other texts go to the library whole.
+    Only texts of code points below 0x250 go by pre-tokens (but for the dotted
+    capital I), where normalisation is the lower case of single code points; other texts go to the
+    library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,9 +55,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo = tk.TokenMemo(1_500_000)
-        self.ids = np.zeros(0, np.int32)  # of all memo entries, end to end
-        self.place = np.zeros(1, np.int64)  # entry k: ids[place[k]:place[k + 1]]
+        self.memo = tk.TokenMemo()
         self.plain = not len(tk.tokens(tk.Batch(["probe"]), joins_space=False)[0]) == 0 and self._understood()
 
     def _understood(self) -> bool:
@@ -98,24 +98,22 @@ class Encoder:
         starts, ends = tk.tokens(batch, joins_space=False, points=points)
         if not len(starts):
             return [np.zeros(0, np.int32) for _ in texts]
-        keys, first, back = np.unique(tk.range_hashes(points, starts, ends), return_index=True, return_inverse=True)
-        entry, found = self.memo.find(keys)
-        new = np.flatnonzero(~found)
-        if len(new):
-            if len(self.memo.keys) + len(new) > self.memo.most:
-                self.memo, self.ids, self.place = tk.TokenMemo(1_500_000), np.zeros(0, np.int32), np.zeros(1, np.int64)
-                new = np.arange(len(keys))
-            at = first[new]
-            lists = [e.ids for e in self.library.encode_batch_fast([batch.joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], add_special_tokens=False)]
-            entry[new] = np.arange(len(self.place) - 1, len(self.place) - 1 + len(new))
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))])
-            self.place = np.concatenate([self.place, self.place[-1] + np.cumsum(sizes)])
-            self.memo.add(keys[new], entry[new])
-        which = entry[back]
-        sizes = (self.place[1:] - self.place[:-1])[which]
+        first, back = tk.distinct_ranges(points, starts, ends)
+        lower = batch.joined.lower()  # code points here keep their number
+        parts = [lower[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        known = [self.memo.get(p) for p in parts]
+        new = [i for i, ids in enumerate(known) if ids is None]
+        if new:
+            lists = [tuple(e.ids) for e in self.library.encode_batch_fast([parts[i] for i in new], add_special_tokens=False)]
+            self.memo.keep([parts[i] for i in new], lists)
+            for i, ids in zip(new, lists, strict=True):
+                known[i] = ids
+        lengths = np.fromiter(map(len, known), np.int64, len(known))
+        place = np.concatenate([[0], np.cumsum(lengths)])
+        ids = np.fromiter(chain.from_iterable(known), np.int32, int(place[-1]))
+        sizes = lengths[back]
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.ids[np.repeat(self.place[which] - upto[:-1], sizes) + np.arange(upto[-1])]
+        flat = ids[np.repeat(place[back] - upto[:-1], sizes) + np.arange(upto[-1])]
         bounds = upto[np.searchsorted(starts, batch.seps)]
         return np.split(flat, bounds[:-1])
 

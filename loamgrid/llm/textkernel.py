@@ -75,29 +75,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+def _expanded(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All positions of the ranges, end to end, each one's place in its range, and the bounds."""
+    size = ends - starts
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    kind = np.int32 if bounds[-1] < 1 << 31 and ends.max(initial=0) < 1 << 31 else np.int64
+    place = np.arange(bounds[-1], dtype=kind) - np.repeat(bounds[:-1].astype(kind), size)
+    return place + np.repeat(starts.astype(kind), size), place, bounds
+
+
+def _hashes(values: np.ndarray, place: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    salt = mix(np.arange(place.max(initial=0) + 1, dtype=np.uint64) + _BASE)
+    x = values.astype(np.uint64)
+    x *= _MUL
+    x += salt[place]
+    x ^= x >> np.uint64(32)
+    x *= _BASE
+    x ^= x >> np.uint64(29)
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x, out=total[1:])
+    return mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * _MUL)
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            for name, base in (("up", _BASE), ("down", inverse)):
-                x = np.full(n, base, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        return self.up, self.down
 
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of values[start:end] for each range; equal ranges hash alike.
 
-_powers = _Powers()
+    Every element is mixed together with its place before the sum, so texts with repeating
+    patterns (Thue-Morse words among them) collide no oftener than random ones.  Where a wrong hit
+    would change a result, callers compare the values themselves (:func:`distinct_ranges`).
+    """
+    at, place, bounds = _expanded(starts, ends)
+    return _hashes(values[at], place, bounds)
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of values[start:end] for each range; equal ranges hash alike."""
-    up, down = _powers.to(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MUL)
+def distinct_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, back): the first range of each distinct content, and each range's place among them.
+
+    Ranges are grouped by their hashes, and then every range is compared with the first of its
+    group; those that differ form groups of their own.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, place, bounds = _expanded(starts, ends)
+    content = values[at]
+    _, first, back = np.unique(_hashes(content, place, bounds), return_index=True, return_inverse=True)
+    lead, size = first[back], ends - starts
+    at = np.repeat(starts[lead].astype(place.dtype), size)
+    at += place
+    differs = np.flatnonzero(content != values[np.minimum(at, len(values) - 1)])
+    wrong = size != size[lead]
+    wrong[np.searchsorted(bounds, differs, side="right") - 1] = True
+    if wrong.any():
+        groups: dict[bytes, int] = {}
+        firsts = first.tolist()
+        for i in np.flatnonzero(wrong).tolist():
+            content = values[starts[i] : ends[i]].tobytes()
+            if content not in groups:
+                groups[content] = len(firsts)
+                firsts.append(i)
+            back[i] = groups[content]
+        first = np.array(firsts)
+    return first, back
 
 
 def slices(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
@@ -291,28 +329,21 @@ def cut_long(text: str, most: int) -> list[str]:
     return parts
 
 
-class TokenMemo:
-    """Values of pre-tokens by the hash of their code points, for one Python worker.
+class TokenMemo(dict):
+    """Values of pre-tokens by their whole text, for one Python worker.
 
-    It only saves work: a pre-token that isn't there is computed anew.  At ``most`` entries it is
-    emptied, so its memory is bounded.
+    It only saves work: a pre-token that isn't there is computed anew.  It is emptied before it
+    would hold more than ``most`` characters, so its memory is bounded.
     """
 
-    def __init__(self, most: int = 600_000) -> None:
-        self.most = most
-        self.keys = np.zeros(0, np.uint64)
-        self.values = np.zeros(0, np.int32)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(values, found) of sorted unique keys."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.values[at], self.keys[at] == keys
-
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        if len(self.keys) + len(keys) > self.most:
-            self.keys, self.values = self.keys[:0], self.values[:0]
-        keys, values = np.concatenate([self.keys, keys]), np.concatenate([self.values, values])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.values = keys[order], values[order]
+    def __init__(self, most: int = 8_000_000) -> None:
+        self.most, self.size = most, 0
+
+    def keep(self, texts: list[str], values: list) -> None:
+        size = sum(map(len, texts)) + 8 * len(texts)
+        if self.size + size > self.most:
+            self.clear()
+            self.size = 0
+        if size <= self.most:
+            self.update(zip(texts, values, strict=True))
+            self.size += size

@@ -185,15 +185,15 @@ class Counter:
             self.bpe.reset()
         batch = tk.Batch(texts)
         starts, ends = tk.tokens(batch, joins_space=True)
-        keys, first, back = np.unique(tk.range_hashes(batch.points, starts, ends), return_index=True, return_inverse=True)
-        values, found = self.memo.find(keys)
-        new = np.flatnonzero(~found)
-        if len(new):
-            text, count = batch.joined, self.bpe.count
-            at = first[new]
-            values[new] = [count(text[s:e].encode()) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            self.memo.add(keys[new], values[new])
-        out = np.bincount(batch.owner(starts), weights=values[back], minlength=len(texts)).astype(np.int64)
+        first, back = tk.distinct_ranges(batch.points, starts, ends)
+        pieces = [batch.joined[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        values = [self.memo.get(p) for p in pieces]
+        new = [i for i, v in enumerate(values) if v is None]
+        for i in new:
+            values[i] = self.bpe.count(pieces[i].encode())
+        self.memo.keep([pieces[i] for i in new], [values[i] for i in new])
+        counts = np.array(values, np.int64)
+        out = np.bincount(batch.owner(starts), weights=counts[back], minlength=len(texts)).astype(np.int64)
         odd = tk.unassigned_table()[batch.points]
         for i in {*batch.owner(np.flatnonzero(odd)).tolist(), *(i for i, t in enumerate(texts) if any(m in t for m in self.added))}:
             out[i] = self.exact(texts[i])
