@@ -1,32 +1,13 @@
-"""Shared helpers of the corpus operators: session settings, checkpoints, table reads."""
+"""Shared helpers of the corpus operators: session settings, lineage cuts, table reads."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamgrid.lineage import cut, discard, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where none is set (tests) one is made."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loamgrid-ckpt-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it: its lineage is cut.
-
-    Unlike a checkpoint, the table carries no size estimates of the plan it came from; in a loop
-    these multiply with every join until planning takes longer than running.
-    """
-    path = f"{shared_folder(df.sparkSession)}/loamgrid/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "discard", "shared_folder", "shuffle_width", "spare", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,8 @@ beyond which no place can change, and anew with a later time for texts where a p
 so the signature is that of the whole process: places agree with probability equal to the
 similarity.
 
-Classes.  Exact token copies are collapsed first.  Representatives that agree in a band meet in its
+Classes.  Exact token copies are collapsed first: rows whose whole word sequences have one SHA-256 are
+one node, numbered when the nodes are written.  Nodes that agree in a band meet in its
 bucket, where each is paired with the bucket's leader, not with everyone; the leader is the member
 that meets most others over all bands, the hub of a group of copies.  Pairs are verified by the
 overlap of the whole multisets, and links give connected components.  A bucket may then still hold
@@ -33,14 +34,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.llm import textkernel as tk
 from loamgrid.llm.common import cut, spare, text_or_empty
+from loamgrid.operators.components import graph_components as components
 
 
 @dataclass(frozen=True)
@@ -63,19 +67,32 @@ _LEVEL = np.uint64(0xC2B2AE3D27D4EB4F)
 _PLACE = np.uint64(0x165667B19E3779F9)
 
 
-def shingles(batch: tk.Batch, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, shingle) of every shingle of every text, and the word digest of each text."""
+def word_digests(batch: tk.Batch) -> list[bytes | None]:
+    """SHA-256 of each text's lower-cased words, each followed by a blank; None without any."""
+    points = tk.lower_table()[batch.points]
+    inside = tk.word_table()[batch.points].astype(bool)
+    inside[batch.seps] = False
+    after = np.zeros(len(inside), bool)
+    after[1:] = inside[:-1]
+    points[~inside] = ord(" ")
+    keep = inside | after  # a word and the one place behind it
+    flat, upto = points[keep].astype("<u4"), np.concatenate([[0], np.cumsum(keep)])
+    bounds = np.concatenate([[0], upto[batch.seps + 1]]).tolist()
+    return [sha256(flat[a:b]).digest() if b > a else None for a, b in pairwise(bounds)]
+
+
+def shingles(batch: tk.Batch, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, shingle) of every shingle of every text."""
     _, _, ids, owner = tk.words(batch)
-    n = np.bincount(owner, minlength=len(batch.texts))
-    ends = np.cumsum(n)
-    digest = tk.range_hashes(ids >> np.uint64(8), ends - n, ends)
+    ends = np.cumsum(np.bincount(owner, minlength=len(batch.texts)))
+    n = np.diff(ends, prepend=0)
     at = np.flatnonzero(np.arange(len(ids)) <= np.maximum(ends - words, ends - n)[owner])
     acc = np.zeros(len(at), np.uint64)
     for k in range(words):
         inside = at + k < ends[owner[at]]
         part = np.where(inside, ids[np.minimum(at + k, len(ids) - 1)] if len(ids) else 0, np.uint64(k + 1))
         acc = tk.mix(acc + _STEP) ^ part
-    return owner[at], tk.mix(acc), digest
+    return owner[at], tk.mix(acc)
 
 
 def multiset(owner: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,42 +166,45 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 
 def signed(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, a hash of the text, digest (of all words; null without any) and band keys of every row."""
+    """doc_id, a hash of the text, digest of all words (null without any) and band keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, digests, keys = _texts(batch), [], []
+            texts, digests, keys = _texts(batch), [], [pa.array([], pa.list_(pa.int64()))]
             for a, b in tk.slices(texts):
-                owner, shingle, digest = shingles(tk.Batch(texts[a:b]), s.words)
-                bag = multiset(owner, shingle)
-                filled = np.bincount(owner, minlength=b - a) > 0
-                digests.append(pa.array(digest.view(np.int64), mask=~filled))
+                points = tk.Batch(texts[a:b])
+                found = word_digests(points)
+                bag = multiset(*shingles(points, s.words))
+                digests += found
                 bands = band_keys(signatures(*bag, b - a, s.places), s.bands)
-                keys.append(pa.array(list(bands), pa.list_(pa.int64()), mask=~filled))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.concat_arrays([pa.array([], pa.int64()), *digests]), pa.concat_arrays([pa.array([], pa.list_(pa.int64())), *keys])], names=["doc_id", "mark", "digest", "bands"])
+                keys.append(pa.array(list(bands), pa.list_(pa.int64()), mask=np.array([d is None for d in found])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(digests, pa.binary()), pa.concat_arrays(keys)], names=["doc_id", "mark", "digest", "bands"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), "text")
+    return rows.mapInArrow(run, "doc_id long, mark long, digest binary, bands array<bigint>")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("mark"), "text")
-    return rows.mapInArrow(run, "doc_id long, mark long, digest long, bands array<bigint>")
+
+def text_mark() -> Column:
+    return F.xxhash64(text_or_empty())
 
 
 def bags(docs: DataFrame, s: Settings) -> DataFrame:
-    """digest and bag: the multiset of a text as sorted 32-bit marks of (shingle, occurrence)."""
+    """node and bag: the multiset of a text as sorted 32-bit marks of (shingle, occurrence)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, sizes, flat = _texts(batch), [np.zeros(1, np.int64)], [np.zeros(0, np.uint32)]
             for a, b in tk.slices(texts):
-                owner, shingle, _ = shingles(tk.Batch(texts[a:b]), s.words)
-                who, what, weight = multiset(owner, shingle)
+                who, what, weight = multiset(*shingles(tk.Batch(texts[a:b]), s.words))
                 nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
                 marks = (tk.mix(np.repeat(what, weight) + _STEP * nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
                 key = np.unique(np.repeat(who, weight).astype(np.uint64) << np.uint64(32) | marks)
                 sizes.append(np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=b - a))
                 flat.append(key.astype(np.uint32))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(flat).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), lists], names=["digest", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "bag"])
 
-    return docs.select("digest", "text").mapInArrow(run, "digest long, bag array<int>")
+    return docs.select("node", "text").mapInArrow(run, "node long, bag array<int>")
 
 
 def _lists(column: pa.ListArray) -> list[np.ndarray]:
@@ -200,13 +220,13 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def verified(pairs: DataFrame, bag: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) of digests whose whole multisets reach the threshold.
+    """The pairs (a, b) of nodes whose whole multisets reach the threshold.
 
     Each pair is a row of its own with its two bags, so a leader with many members is many rows,
     not a group.
     """
-    one = pairs.join(bag.select(F.col("digest").alias("a"), F.col("bag").alias("bag_a")), "a")
-    two = one.join(bag.select(F.col("digest").alias("b"), F.col("bag").alias("bag_b")), "b")
+    one = pairs.join(bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
+    two = one.join(bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
     # The smaller bag must hold at least threshold of the larger.
     small, large = F.least(F.size("bag_a"), F.size("bag_b")), F.greatest(F.size("bag_a"), F.size("bag_b"))
 
@@ -221,43 +241,35 @@ def verified(pairs: DataFrame, bag: DataFrame, s: Settings) -> DataFrame:
     return two.where(small >= large * s.threshold).select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of every node of a link table (a, b): comp is the least node reached.
-
-    Labels spread along links and then jump to their label's label, so rounds grow with the
-    logarithm of a component's diameter; each round is written and read again.
-    """
-    both = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        spread = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        to = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        jumped = cut(spread.join(to, "comp").select("node", "was", F.least("comp", "next").alias("comp")))
-        if not jumped.where("comp <> was").limit(1).count():
-            return jumped.select("node", "comp")
-        labels = jumped.select("node", "comp")
-
-
 def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, class_id, class_size and n_links of every row of ``docs``.
 
     n_links counts the verified links of the text's distinct word sequence.
     """
-    s = settings or Settings()
+    return classes(docs, settings or Settings()).select("doc_id", "class_id", "class_size", "n_links")
+
+
+def classes(docs: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, mark, node (null without words), class_id, class_size, n_links, and the class's first
+    row (first_id, first_mark) by (doc_id, mark), null doc_ids last."""
     marked = cut(signed(docs, s))
-    # Copies of a word sequence: one representative digest, named by the smallest doc_id.
+    # Copies of a word sequence are one node.
     distinct = marked.where("digest is not null").groupBy("digest").agg(F.first("bands").alias("bands"))
-    entries = distinct.select("digest", F.posexplode("bands").alias("place", "band"))
+    nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
+    rows = cut(marked.where("digest is not null").select("doc_id", "mark", "digest").join(nodes.select("digest", "node"), "digest").select("doc_id", "mark", "node"))
+    entries = nodes.select("node", F.posexplode("bands").alias("place", "band"))
     sizes = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = cut(entries.join(sizes, "band"))
     # The leader of a bucket is its hub: the member with the most company over all bands.
-    company = met.groupBy("digest").agg(F.sum("n").alias("company"))
-    hub = F.max(F.struct("company", F.xxhash64("digest").alias("o"), F.col("digest").alias("leader")))
-    leaders = met.join(company, "digest").groupBy("band").agg(hub.alias("x")).select("band", F.col("x.leader").alias("leader"))
+    company = met.groupBy("node").agg(F.sum("n").alias("company"))
+    hub = F.max(F.struct("company", F.xxhash64("node").alias("o"), F.col("node").alias("leader")))
+    leaders = met.join(company, "node").groupBy("band").agg(hub.alias("x")).select("band", F.col("x.leader").alias("leader"))
     members = cut(met.join(leaders, "band"))
-    bag = cut(_participants(docs, marked, members, s))
-    pairs = members.where("digest <> leader").select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b")).distinct()
+    # One row stands for a node, and for a class: the first by (doc_id, mark).
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    sized = rows.groupBy("node").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows"))
+    bag = cut(_participants(docs, sized, members, s))
+    pairs = members.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     links = cut(verified(pairs, bag, s))
     comp = components(links)
     crowd = cut(_crowd(members.where("n > 2"), comp))
@@ -269,73 +281,73 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     if rest.limit(1).count():
         links = cut(links.union(rest).distinct())
         comp = components(links)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("digest")).agg(F.count(F.lit(1)).alias("n_links"))
-    # The classes of distinct sequences, then of rows.
-    size = marked.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"))
-    size = size.join(comp.select(F.col("node").alias("digest"), "comp"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-    classes = size.groupBy("comp").agg(F.min("low").alias("class_id"), F.sum("rows").alias("class_size"))
-    named = cut(size.select("digest", "comp").join(classes, "comp").join(degree, "digest", "left").select("digest", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    known = marked.where("digest is not null").select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "class_size", "n_links")
-    return known.union(marked.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links")))
+    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
+    # The classes of nodes, then of rows.
+    size = sized.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    found = size.groupBy("comp").agg(F.min("first").alias("first"), F.sum("rows").alias("class_size"))
+    named = cut(size.select("node", "comp").join(found, "comp").join(degree, "node", "left").select("node", F.col("first.doc_id").alias("class_id"), "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark")))
+    known = rows.join(named, "node").select("doc_id", "mark", "node", "class_id", "class_size", "n_links", "first_id", "first_mark")
+    alone = marked.where("digest is null").select("doc_id", "mark", F.lit(None).cast("long"), "doc_id", F.lit(1).cast("long"), F.lit(0).cast("long"), "doc_id", "mark")
+    return known.union(alone)
 
 
 def _crowd(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """band, place, digest, n, comp, out of the members of buckets that hold several components."""
-    of = comp.select(F.col("node").alias("digest"), "comp")
+    """band, place, node, n, comp, out of the members of buckets that hold several components."""
+    of = comp.select(F.col("node").alias("node"), "comp")
     lead = comp.select(F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))
-    crowd = members.join(of, "digest", "left").join(lead, "leader", "left").select("band", "place", "digest", "leader", "n", F.coalesce("comp", "digest").alias("comp"), F.coalesce("lead_comp", "leader").alias("lead_comp"))
+    crowd = members.join(of, "node", "left").join(lead, "leader", "left").select("band", "place", "node", "leader", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("lead_comp", "leader").alias("lead_comp"))
     crowd = crowd.withColumn("out", F.col("comp") != F.col("lead_comp"))
     mixed = crowd.groupBy("band").agg(F.max("out").alias("any")).where("any").select("band")
-    return crowd.join(mixed, "band", "left_semi").where("digest <> leader").select("band", "place", "digest", "n", "comp", "out")
+    return crowd.join(mixed, "band", "left_semi").where("node <> leader").select("band", "place", "node", "n", "comp", "out")
 
 
 def _close_pairs(crowd: DataFrame, s: Settings) -> DataFrame:
     """Pairs (a, b) of an outsider and a member of another component in a small bucket."""
     few = crowd.where(F.col("n") <= s.small)
-    x = few.where("out").select("band", F.col("digest").alias("x"), F.col("comp").alias("x_comp"))
-    y = few.select("band", F.col("digest").alias("y"), F.col("comp").alias("y_comp"))
+    x = few.where("out").select("band", F.col("node").alias("x"), F.col("comp").alias("x_comp"))
+    y = few.select("band", F.col("node").alias("y"), F.col("comp").alias("y_comp"))
     met = x.join(y, (x["band"] == y["band"]) & (F.col("x_comp") != F.col("y_comp")))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _finer_pairs(crowd: DataFrame, s: Settings) -> DataFrame:
     """Pairs (a, b) of a finer bucket's two leaders and its members of other components."""
-    large = crowd.where(F.col("n") > s.small).groupBy("digest").agg(F.first("comp").alias("comp"), F.map_from_entries(F.collect_set(F.struct("place", "band"))).alias("at"))
+    large = crowd.where(F.col("n") > s.small).groupBy("node").agg(F.first("comp").alias("comp"), F.map_from_entries(F.collect_set(F.struct("place", "band"))).alias("at"))
     band = lambda i: F.try_element_at("at", F.lit(i % s.bands))
     twos = F.array(*(F.when(band(i).isNotNull() & band(i + d).isNotNull(), F.xxhash64(band(i), band(i + d))) for d in range(1, s.reach + 1) for i in range(s.bands)))
-    fine = large.select("digest", "comp", F.explode(F.array_compact(twos)).alias("key"))
-    who = F.struct(F.xxhash64("key", "digest").alias("o"), F.col("digest").alias("leader"), F.col("comp").alias("lead_comp"))
+    fine = large.select("node", "comp", F.explode(F.array_compact(twos)).alias("key"))
+    who = F.struct(F.xxhash64("key", "node").alias("o"), F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))
     leads = fine.groupBy("key").agg(F.min(who).alias("x"), F.max(who).alias("y"))
     met = cut(fine.join(leads, "key"))
-    sides = [met.where(f"comp <> {k}.lead_comp").select(F.least("digest", f"{k}.leader").alias("a"), F.greatest("digest", f"{k}.leader").alias("b")) for k in "xy"]
+    sides = [met.where(f"comp <> {k}.lead_comp").select(F.least("node", f"{k}.leader").alias("a"), F.greatest("node", f"{k}.leader").alias("b")) for k in "xy"]
     return sides[0].union(sides[1]).distinct()
 
 
 def _block_links(crowd: DataFrame, bag: DataFrame, s: Settings) -> DataFrame:
     """Links (a, b) of the outsiders and the members of other components in large buckets.
 
-    Outsiders and members are dealt to blocks of about ``block`` by their digest, and each pair of
+    Outsiders and members are dealt to blocks of about ``block`` by their node, and each pair of
     blocks is one group; a text is sent once for each block of the other side.
     """
     crowd = cut(crowd)
     sizes = crowd.groupBy("band").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("out").cast("long")).alias("outs"))
     sizes = sizes.select("band", F.ceil(F.col("outs") / s.block).alias("kx"), F.ceil(F.col("all") / s.block).alias("ky"))
-    dealt = crowd.join(sizes, "band").withColumn("h", F.xxhash64("digest"))
+    dealt = crowd.join(sizes, "band").withColumn("h", F.xxhash64("node"))
     steps = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
-    x = dealt.where("out").select("band", F.pmod("h", "kx").alias("bx"), steps("ky").alias("by"), F.lit(0).alias("side"), "digest", "comp")
-    y = dealt.select("band", steps("kx").alias("bx"), F.pmod("h", "ky").alias("by"), F.lit(1).alias("side"), "digest", "comp")
+    x = dealt.where("out").select("band", F.pmod("h", "kx").alias("bx"), steps("ky").alias("by"), F.lit(0).alias("side"), "node", "comp")
+    y = dealt.select("band", steps("kx").alias("bx"), F.pmod("h", "ky").alias("by"), F.lit(1).alias("side"), "node", "comp")
 
     def run(rows: pa.Table) -> pa.Table:
-        side, digest, comp = (rows.column(c).to_numpy() for c in ("side", "digest", "comp"))
+        side, node, comp = (rows.column(c).to_numpy() for c in ("side", "node", "comp"))
         sets = [b for chunk in rows.column("bag").chunks for b in _lists(chunk)]
         i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         a, b = _linked([sets[k] for k in i], [sets[k] for k in j], s.threshold)
         a, b = i[a], j[b]
         other = comp[a] != comp[b]
-        a, b = digest[a[other]], digest[b[other]]
+        a, b = node[a[other]], node[b[other]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    met = x.union(y).join(bag, "digest")
+    met = x.union(y).join(bag, "node")
     return met.groupBy("band", "bx", "by").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -369,18 +381,21 @@ def _linked(xs: list[np.ndarray], ys: list[np.ndarray], threshold: float, width:
     return np.nonzero(same >= threshold * (n[:, None] + m[None, :] - same))
 
 
-def _participants(docs: DataFrame, marked: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
-    """Bags of the representatives that are in some bucket, from one row of each."""
-    wanted = members.select("digest").distinct()
-    # One row stands for a word sequence: the least (doc_id, text hash) of its rows.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("mark", F.xxhash64("text"))
-    rows = marked.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("r")).join(wanted, "digest").select("digest", F.col("r.doc_id").alias("id"), F.col("r.mark").alias("mark"))
-    named = texts.join(rows, (texts["mark"] == rows["mark"]) & texts["doc_id"].eqNullSafe(rows["id"])).select("digest", "text")
-    return bags(named, s).groupBy("digest").agg(F.first("bag").alias("bag"))
+def _participants(docs: DataFrame, sized: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
+    """Bags of the nodes that are in some bucket, from the first row of each."""
+    wanted = members.select("node").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), text_mark().alias("mark"))
+    rows = sized.join(wanted, "node").select("node", F.col("first.doc_id").alias("id"), F.col("first.mark").alias("mark"))
+    named = texts.join(rows, (texts["mark"] == rows["mark"]) & texts["doc_id"].eqNullSafe(rows["id"])).select("node", "text")
+    return bags(named, s).groupBy("node").agg(F.first("bag").alias("bag"))
 
 
 def keep_one_of_each(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their class, with all their columns."""
-    (keep,) = spare(docs, "__keep")
-    named = near_duplicates(docs, settings).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(keep)).distinct()
-    return docs.join(named, docs["doc_id"].cast("long").eqNullSafe(named[keep]), "left_semi")
+    """One row of each class of near duplicates, with all its columns: the first by (doc_id, hash of
+    the text), null doc_ids last.  A row without words is a class of its own; of rows alike in doc_id
+    and text one stays."""
+    key = lambda doc_id, mark: F.concat_ws(":", mark.cast("string"), F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")))
+    (name,) = spare(docs, "__keep")
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
+    kept = classes(docs, settings or Settings()).where(first).select(key(F.col("doc_id"), F.col("mark")).alias(name))
+    return docs.withColumn(name, key(F.col("doc_id"), text_mark())).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -73,6 +73,52 @@ def test_token_counts_equal_the_library(spark):
         assert got[i] == (len((t or "").encode()), n, n > 512), t
 
 
+def thue_morse(size, a, b):
+    """The two complementary Thue-Morse words over (a, b); polynomial hashes modulo 2**64 confuse them."""
+    word = a
+    while len(word) < size:
+        word += word.translate(str.maketrans(a + b, b + a))
+    return [word, word.translate(str.maketrans(a + b, b + a))]
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_counts_and_ids_of_words_that_hash_alike(across):
+    c, enc = token_counts.Counter(token_counts.default_path()), packing.Encoder(packing.default_path())
+    for size in (1024, 2048, 4096, 8192):
+        for a, b in ("ab", "ae", "st"):
+            texts = thue_morse(size, a, b)
+            batches = [[t] for t in texts] if across else [texts]
+            assert [n for x in batches for n in c.counts(x)] == [c.exact(t) for t in texts]
+            assert [i.tolist() for x in batches for i in enc.encode(x)] == [enc.whole(t).tolist() for t in texts]
+
+
+def test_ranges_are_grouped_by_content_whatever_their_hashes(monkeypatch):
+    rng = np.random.default_rng(0)
+    values, starts = rng.integers(0, 2, 5000).astype(np.uint32), np.sort(rng.integers(0, 4990, 900))
+    ends = starts + rng.integers(0, 9, 900)
+    content = [values[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+    hashes = tk._hashes
+    for mask in (2**64 - 1, 7, 0):
+        monkeypatch.setattr(tk, "_hashes", lambda *x, mask=mask: hashes(*x) & np.uint64(mask))
+        first, back = tk.distinct_ranges(values, starts, ends)
+        assert [content[i] for i in first[back]] == content and len(set(content)) == len(first)
+
+
+def test_near_dedup_keeps_words_that_hash_alike_apart(spark):
+    texts = [*thue_morse(2048, "a", "b"), *(" ".join(w) for w in thue_morse(2048, "a", "b"))]
+    got = [(r["doc_id"], r["class_id"], r["class_size"]) for r in near_dedup.near_duplicates(docs_of(spark, texts[:2])).collect()]
+    assert sorted(got) == [(0, 0, 1), (1, 1, 1)]
+    assert len(set(near_dedup.word_digests(tk.Batch(texts)))) == 4
+
+
+def test_near_dedup_keeps_one_row_of_a_class_with_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    d = docs_of(spark, [text, "some other words", text.upper(), text + " more", None, "", text, "..."], [0, 1, 1, 0, None, None, None, 1])
+    kept = [(r["doc_id"], r["text"]) for r in near_dedup.keep_one_of_each(d).collect()]
+    assert len([t for _, t in kept if (t or "").lower().startswith("w0")]) == 1
+    assert (1, "some other words") in kept and (1, "...") in kept and len(kept) == 4
+
+
 def test_every_vocabulary_entry_is_one_token():
     c = token_counts.counter(token_counts.default_path())
     assert all(c.bpe.count(name) == 1 for name in c.bpe.ids)
@@ -218,7 +264,7 @@ def test_near_dedup_compares_all_of_a_large_bucket(spark):
             own = common | {rng.randrange(120): f"n{family}x{k}"}
             texts.append(" ".join(own.get(i, w) for i, w in enumerate(base)))
     s = near_dedup.Settings(bands=1, rows=1, small=2, block=8)
-    owner, key, _ = near_dedup.shingles(tk.Batch(texts), s.words)
+    owner, key = near_dedup.shingles(tk.Batch(texts), s.words)
     band = near_dedup.band_keys(near_dedup.signatures(*near_dedup.multiset(owner, key), len(texts), 1), 1)[:, 0]
     sets = [set(key[owner == i].tolist()) for i in range(len(texts))]
     want = list(range(len(texts)))
