@@ -9,27 +9,33 @@ source is ever a block or more away from the even mixture, however long the inpu
 the weight.  When a source has run out the others go on in their proportions; nothing is dropped and
 nothing repeats.
 
-One fold over all slots carries only each source's count and keeps it at the start of every window
-of ``resolution`` slots (a slot is ``block_chars`` characters, so it is short beside the rows); from
-these counts the windows are laid out side by side, one row each.  Places within a source are
-two-level sums (hash buckets, then rows within a bucket), so a source with a third of all rows is
-spread like any other.
+The slots are cut into windows of ``resolution`` that are laid out side by side.  A window needs only
+each source's count at its start, and these are found without a walk over all slots: every window
+starts from a guess (the whole blocks of the even mixture, and the blocks due first for the rest),
+runs its slots, and hands its end to the next window; windows whose start was another one run
+again, until every start is the end of the window before.  That is the one schedule that a walk
+would give.  Two schedules that differ in a few blocks meet again soon, so the rounds are few.
+Places within a source are two-level sums (hash buckets, then rows within a bucket), so a source
+with a third of all rows is spread like any other.
 
 Defined results: null text counts as empty; a document's size is its characters plus one; a null
 source is a source of its own; rows that repeat doc_id, source and text share one place; sources
-without a target get the smallest target given; an empty table gives no rows.
+without a target get the smallest positive target given; sources with target 0 follow, evenly by
+size, when all others have run out; negative, infinite or not-a-number targets are refused; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamgrid.llm.common import shuffle_width, spare, text_or_empty
+from loamgrid.llm.common import cut, shuffle_width, spare, text_or_empty
 
 BUCKET_BITS = 12
-CHUNK = 4096
 
 
 def _source() -> Column:
@@ -59,36 +65,20 @@ def blocks(docs: DataFrame, block_chars: int, seed: int) -> DataFrame:
 
 
 def sources(docs: DataFrame, targets: dict[str | None, float] | None, block_chars: int, power: float) -> DataFrame:
-    """src, n (blocks), w (share of the slots)."""
+    """src, n (blocks), w (share of the slots of its phase), phase (1: only after phase 0)."""
     rows = docs.select(_unit().alias("key"), _source().alias("src"), (F.length(text_or_empty()) + 1).cast("long").alias("size"))
     total = rows.groupBy("src").agg(F.sum("size").alias("total"))
+    weight = F.pow(F.col("total").cast("double"), F.lit(power))
     if targets:
-        least = min(w for w in targets.values() if w > 0)
-        pairs = [x for name, w in targets.items() for x in (F.lit("null" if name is None else f"={name}"), F.lit(float(max(w, 0)) or least))]
+        if not all(math.isfinite(w) and w >= 0 for w in targets.values()):
+            raise ValueError("targets must be finite and not negative")
+        least = min((w for w in targets.values() if w > 0), default=0.0)
+        pairs = [x for name, w in targets.items() for x in (F.lit("null" if name is None else f"={name}"), F.lit(float(w)))]
         weight = F.coalesce(F.element_at(F.create_map(*pairs), F.col("src")), F.lit(float(least)))
-    else:
-        weight = F.pow(F.col("total").cast("double"), F.lit(power))
-    weighed = total.withColumn("w", weight)
-    share = F.col("w") / F.sum("w").over(Window.partitionBy())  # a row for each source
-    return weighed.select("src", F.expr(f"(total - 1) div {block_chars} + 1").alias("n"), share.alias("w"))
-
-
-def _edf(runs: Column, length: Column) -> Column:
-    """The slots of one round: array<struct<i, j>>, the j-th block of the i-th of ``runs``."""
-    start = F.struct(F.transform(runs, lambda _: F.lit(0).cast("long")).alias("done"), F.array().cast("array<struct<i:int,j:bigint>>").alias("out"))
-
-    def slot(acc: Column, t: Column) -> Column:
-        due = F.transform(
-            F.arrays_zip(acc["done"].alias("d"), runs.alias("r")),
-            lambda x, i: F.when((x["d"] < x["r"]["c"]) & (F.floor(x["d"] * length / x["r"]["c"]) <= t), F.struct(F.ceil((x["d"] + 1) * length / x["r"]["c"]).alias("due"), i.alias("i"), x["d"].alias("j"))),
-        )
-        first = F.array_min(due)
-        return F.struct(
-            F.transform(acc["done"], lambda d, i: F.when(i == first["i"], d + 1).otherwise(d)).alias("done"),
-            F.concat(acc["out"], F.array(F.struct(first["i"].alias("i"), first["j"].alias("j")))).alias("out"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), length - 1), start, slot, lambda acc: acc["out"])
+    late = total.withColumn("w", weight).withColumn("phase", (F.col("w") <= 0).cast("int"))
+    late = late.withColumn("w", F.when(F.col("phase") == 1, F.col("total").cast("double")).otherwise(F.col("w")))
+    share = F.col("w") / F.sum("w").over(Window.partitionBy("phase"))  # a row for each source
+    return late.select("src", F.expr(f"(total - 1) div {block_chars} + 1").alias("n"), share.alias("w"), "phase")
 
 
 def _head(srcs: Column, s: Column, d: Column) -> Column:
@@ -112,44 +102,66 @@ def _run_first(srcs: Column, heads: Column, t: Column, then) -> Column:
     return F.get(F.transform(F.array(first), lambda f: then(f, after(f))), F.lit(0))
 
 
-def schedule_targets(plan: DataFrame, window: int) -> DataFrame:
-    """src, block, slot: the global slot of every block of a table of (src, n, w)."""
-    one = plan.groupBy().agg(F.array_sort(F.collect_list(F.struct("src", F.col("n").cast("long").alias("n"), F.col("w").cast("double").alias("w")))).alias("srcs"), F.sum("n").alias("total")).where("total > 0")
-    srcs, total = F.col("srcs"), F.col("total")
-    slots = lambda k: F.sequence(k * window, F.least((k + 1) * window, total) - 1)
-    zero = F.transform(srcs, lambda _: F.lit(0).cast("long"))
-    start = F.struct(_heads(srcs, zero).alias("heads"), F.array().cast("array<array<bigint>>").alias("at"))
+def _zero(srcs: Column) -> Column:
+    return F.transform(srcs, lambda _: F.lit(0).cast("long"))
+
+
+def _guess(srcs: Column, slot: Column) -> Column:
+    """Each source's count after ``slot`` slots: whole blocks of the even mixture, and for the rest
+    the released blocks that are due first."""
+    # The time of the even mixture: sources that run out by then give all they have, the others w a unit.
+    ends = F.concat(F.array(F.lit(0.0)), F.transform(srcs, lambda o: o["n"] / o["w"]))
+    spent = lambda end: F.aggregate(srcs, F.lit(0.0), lambda acc, o: acc + F.when(o["n"] / o["w"] <= end, o["n"].cast("double")).otherwise(0.0))
+    rate = lambda end: F.aggregate(srcs, F.lit(0.0), lambda acc, o: acc + F.when(o["n"] / o["w"] <= end, 0.0).otherwise(o["w"]))
+    time = F.array_max(F.transform(ends, lambda end: F.when(rate(end) > 0, (slot - spent(end)) / rate(end)).otherwise(0.0)))
 
-    def step(acc: Column, k: Column) -> Column:
-        heads = F.aggregate(slots(k), acc["heads"], lambda h, t: _run_first(srcs, h, t, lambda _, after: after))
-        return F.struct(heads.alias("heads"), F.concat(acc["at"], F.array(F.transform(acc["heads"], lambda h: h["d"]))).alias("at"))
+    def fill(whole: Column) -> Column:
+        left = slot - F.aggregate(whole, F.lit(0).cast("long"), lambda acc, d: acc + d)
+        heads = F.transform(whole, lambda d, i: F.struct(_head(srcs, F.get(srcs, i), d).alias("h"), i.alias("i")))
+        can = F.filter(heads, lambda x: (x["h"]["d"] < F.get(srcs, x["i"])["n"]) & (x["h"]["rel"] < slot))
+        first = F.slice(F.array_sort(F.transform(can, lambda x: F.struct(x["h"]["due"].alias("due"), x["i"].alias("i")))), 1, F.greatest(left, F.lit(0)).cast("int"))
+        return F.transform(whole, lambda d, i: d + F.exists(first, lambda f: f["i"] == i).cast("long"))
 
-    starts = F.aggregate(F.sequence(F.lit(0).cast("long"), F.expr(f"(total - 1) div {window}")), start, step, lambda acc: acc["at"])
-    windows = one.select("srcs", "total", F.posexplode(starts).alias("k", "done")).withColumn("k", F.col("k").cast("long"))
-    begin = F.struct(_heads(srcs, F.col("done")).alias("heads"), F.array().cast("array<struct<i:int,d:bigint>>").alias("out"))
+    whole = lambda t: F.transform(srcs, lambda o: F.least(o["n"], F.floor(o["w"] * t + 1e-9)))
+    return F.get(F.transform(F.array(time), lambda t: F.get(F.transform(F.array(whole(t)), fill), F.lit(0))), F.lit(0))
+
+
+def window_starts(windows: DataFrame, window: int) -> DataFrame:
+    """phase, k, done: each source's count at the start of every window of (phase, k, srcs, total)."""
+    slots = F.sequence(F.col("k") * window, F.least((F.col("k") + 1) * window, F.col("total")) - 1)
+
+    def ends(starts: DataFrame) -> DataFrame:
+        heads = F.aggregate(slots, _heads(F.col("srcs"), F.col("done")), lambda h, t: _run_first(F.col("srcs"), h, t, lambda _, after: after))
+        ran = starts.join(windows, ["phase", "k"]).where(F.col("total") > (F.col("k") + 1) * window)
+        return ran.select("phase", (F.col("k") + 1).alias("k"), F.transform(heads, lambda h: h["d"]).alias("end"))
+
+    starts = cut(windows.select("phase", "k", F.when(F.col("k") == 0, _zero(F.col("srcs"))).otherwise(_guess(F.col("srcs"), F.col("k") * window)).alias("done")))
+    changed = starts
+    while True:
+        moved = cut(ends(changed).join(starts, ["phase", "k"]).where("end <> done").select("phase", "k", F.col("end").alias("done")))
+        if not moved.limit(1).count():
+            return starts
+        starts = cut(starts.join(moved.select("phase", "k"), ["phase", "k"], "left_anti").unionByName(moved))
+        changed = moved
+
+
+def schedule_targets(plan: DataFrame, window: int) -> DataFrame:
+    """src, block, slot: the global slot of every block of a table of (src, n, w, phase)."""
+    one = plan.groupBy("phase").agg(F.array_sort(F.collect_list(F.struct("src", F.col("n").cast("long").alias("n"), F.col("w").cast("double").alias("w")))).alias("srcs"), F.sum("n").alias("total"))
+    before = Window.orderBy("phase").rowsBetween(Window.unboundedPreceding, -1)  # two rows at most
+    one = one.withColumn("first", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    width = shuffle_width(plan.sparkSession)
+    windows = cut(one.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(total - 1) div {window}")))).repartition(width, "phase", "k"))
+    ready = windows.join(window_starts(windows, window), ["phase", "k"])
+    begin = F.struct(_heads(F.col("srcs"), F.col("done")).alias("heads"), F.array().cast("array<struct<i:int,d:bigint>>").alias("out"))
+    slots = F.sequence(F.col("k") * window, F.least((F.col("k") + 1) * window, F.col("total")) - 1)
 
     def lay(acc: Column, t: Column) -> Column:
         ran = lambda f: F.concat(acc["out"], F.array(F.struct(f["i"].alias("i"), f["d"].alias("d"))))
-        return _run_first(srcs, acc["heads"], t, lambda f, after: F.struct(after.alias("heads"), ran(f).alias("out")))
-
-    laid = windows.repartition(shuffle_width(plan.sparkSession), "k").select("srcs", "k", F.posexplode(F.aggregate(slots(F.col("k")), begin, lay, lambda acc: acc["out"])).alias("t", "x"))
-    return laid.select(F.get("srcs", F.col("x.i"))["src"].alias("src"), F.col("x.d").alias("block"), (F.col("k") * window + F.col("t")).alias("slot"))
-
-
-def schedule(plan: DataFrame) -> DataFrame:
-    """src, block, slot of every block of a table of (src, n, q), q whole slots of each round."""
-    ran = lambda k: F.least(F.col("n"), F.col("q") * k)
-    rounds = plan.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div q"))))
-    rounds = rounds.select("k", F.struct("src", ran(F.col("k")).alias("first"), (ran(F.col("k") + 1) - ran(F.col("k"))).alias("c")).alias("run"))
-    rounds = rounds.groupBy("k").agg(F.array_sort(F.collect_list("run")).alias("runs"), F.sum("run.c").alias("len")).withColumn("chunk", F.expr(f"k div {CHUNK}"))
-    chunk_sums = rounds.groupBy("chunk").agg(F.sum("len").alias("sum"))
-    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row for each CHUNK rounds
-    chunk_starts = chunk_sums.select("chunk", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("chunk").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rounds.withColumn("run_before", F.coalesce(F.sum("len").over(inside), F.lit(0))).join(chunk_starts, "chunk")
-    slots = placed.select("runs", (F.col("start") + F.col("run_before")).alias("from"), F.posexplode(_edf(F.col("runs"), F.col("len"))).alias("t", "x"))
-    at = F.element_at("runs", F.col("x.i") + 1)
-    return slots.select(at["src"].alias("src"), (at["first"] + F.col("x.j")).alias("block"), (F.col("from") + F.col("t")).alias("slot"))
+        return _run_first(F.col("srcs"), acc["heads"], t, lambda f, after: F.struct(after.alias("heads"), ran(f).alias("out")))
+
+    laid = ready.select("srcs", "k", "first", F.posexplode(F.aggregate(slots, begin, lay, lambda acc: acc["out"])).alias("t", "x"))
+    return laid.select(F.get("srcs", F.col("x.i"))["src"].alias("src"), F.col("x.d").alias("block"), (F.col("first") + F.col("k") * window + F.col("t")).alias("slot"))
 
 
 def _placed(docs: DataFrame, targets, block_chars: int, resolution: int, power: float, seed: int) -> DataFrame:

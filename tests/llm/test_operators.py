@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables with awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -285,37 +286,51 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((s[0] == s[1]).mean() - want) < 0.03
 
 
-def test_pfair_against_a_simulation(spark):
-    plan = [("=a", 700, 60), ("=b", 200, 30), ("=c", 33, 9), ("null", 4, 1)]
-    rows = sorted(mixing.schedule(spark.createDataFrame(plan, "src string, n long, q long")).collect(), key=lambda r: r["slot"])
-    assert [r["slot"] for r in rows] == list(range(937))
-    want, k = [], 0
-    while len(want) < 937:
-        runs = [(s, min(n, q * k), min(n, q * (k + 1)) - min(n, q * k)) for s, n, q in plan if n > q * k]
-        size, done = sum(c for _, _, c in runs), [0] * len(runs)
-        for t in range(size):
-            due = [(-(-(d + 1) * size // c), i) for i, ((_, _, c), d) in enumerate(zip(runs, done, strict=True)) if d < c and d * size // c <= t]
-            _, i = min(due)
-            want.append((runs[i][0], runs[i][1] + done[i]))
-            done[i] += 1
-        k += 1
-    assert [(r["src"], r["block"]) for r in rows] == want
-    seen = Counter()
-    for t, (src, _) in enumerate(want[:300]):  # all four have data in the first rounds
-        seen[src] += 1
-        assert all(abs(seen[s] - (t + 1) * q / 100) < 1 for s, _, q in plan)
+def walked(plan):
+    """Earliest deadline first, one slot after another, over (src, n, w)."""
+    at = lambda time: sum(min(float(n), w * time) for _, n, w in plan)
+    head = lambda i, d: (math.floor(at(d / plan[i][2]) + 1e-9), math.ceil(at((d + 1) / plan[i][2]) - 1e-9))
+    heads, done, out = [head(i, 0) for i in range(len(plan))], [0] * len(plan), []
+    for t in range(sum(n for _, n, _ in plan)):
+        _, i = min((heads[i][1], i) for i in range(len(plan)) if done[i] < plan[i][1] and heads[i][0] <= t)
+        out.append((plan[i][0], done[i]))
+        done[i] += 1
+        heads[i] = head(i, done[i])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_windows_side_by_side_make_the_walk_of_all_slots(spark, seed):
+    rng = random.Random(seed)
+    w = [rng.random() ** 3 + 0.001 for _ in range((2, 7, 19)[seed])]
+    plan = [(f"={chr(97 + i)}", rng.randint(1, 600), x / sum(w)) for i, x in enumerate(w)]
+    rows = mixing.schedule_targets(spark.createDataFrame([(*p, 0) for p in plan], "src string, n long, w double, phase int"), 32).collect()
+    rows.sort(key=lambda r: r["slot"])
+    assert [r["slot"] for r in rows] == list(range(len(rows))) and [(r["src"], r["block"]) for r in rows] == walked(plan)
 
 
-def test_mixing_follows_exact_targets(spark):
-    plan = {"a": (1600, 0.5347), "b": (400, 0.3341), "c": (300, 0.1302), "d": (3, 0.001)}
-    rows = mixing.schedule_targets(spark.createDataFrame([(s, *x) for s, x in plan.items()], "src string, n long, w double"), 64).collect()
-    rows.sort(key=lambda r: r["slot"])
-    assert [r["slot"] for r in rows] == list(range(2303))
-    assert all([r["block"] for r in rows if r["src"] == s] == list(range(n)) for s, (n, _) in plan.items())
+def test_mix_stays_within_a_block_of_the_given_targets(spark):
+    rng = random.Random(3)
+    targets = {"a": rng.random(), "b": rng.random(), "c": rng.random() / 50, None: rng.random() / 7}
+    total = sum(targets.values())
+    names = [s for s, w in targets.items() for _ in range(int(5200 * w / total) + 2)]
+    d = spark.createDataFrame([(i, "123456789", s) for i, s in enumerate(names)], "doc_id long, text string, source string")
+    rows = sorted(mixing.mix(d, targets, block_chars=10).collect(), key=lambda r: r["slot"])
+    assert [r["slot"] for r in rows] == list(range(len(names))) and len(names) > 5000
     seen = Counter()
-    for t, r in enumerate(rows[:1100], 1):  # no source has run out
-        seen[r["src"]] += 1
-        assert all(abs(seen[s] - t * w) < 1 for s, (_, w) in plan.items())
+    for t, r in enumerate(rows[:5000], 1):
+        seen[r["source"]] += 1
+        assert all(abs(seen[s] - t * w / total) < 1 for s, w in targets.items())
+
+
+def test_mix_with_zero_targets(spark):
+    d = docs_of(spark, ["123456789"] * 30).selectExpr("doc_id", "text", "if(doc_id < 10, 'a', if(doc_id < 20, 'b', null)) source")
+    source = lambda targets: [r["source"] for r in sorted(mixing.mix(d, targets, block_chars=10).collect(), key=lambda r: r["slot"])]
+    assert set(source({"a": 1.0, "b": 0.0})[20:]) == {"b"}
+    assert all(source({"a": 0.0, "b": 0.0})[:10].count(s) in (3, 4) for s in ("a", "b", None))
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.mix(d, {"a": bad})
 
 
 def test_mixing_keeps_every_row(spark):
