@@ -3,6 +3,7 @@
 import datetime
 import decimal
 import math
+import os
 
 import duckdb
 
@@ -30,8 +31,8 @@ def spark_rows(df):
 
 def duck_rows(sql, sf_dir):
     con = duckdb.connect()
-    for t in TABLES:
-        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    for t in (t for t in TABLES if os.path.exists(f"{sf_dir}/{t}.parquet")):
+        con.sql(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet' || '{'/*.parquet' if os.path.isdir(f'{sf_dir}/{t}.parquet') else ''}')")
     rel = con.execute(sql)
     names = [d[0] for d in rel.description]
     at = [names.index(c) for c in sorted(names)]
