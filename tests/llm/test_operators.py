@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -361,11 +363,75 @@ def test_secrets_against_plain_expressions(spark):
     assert secret_scan.postings(docs_of(spark, ["my secret", ""])).count() == 4
 
 
-def test_license_variants(spark):
-    mit = licenses.KNOWN["MIT"]
-    texts = ["Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + mit.upper(), mit.replace("\n", " \n ").replace("sublicense", "sub-licence").replace('"', "“"), mit + " and more", None, ""]
-    got = {r["doc_id"]: r["license"] for r in licenses.license_scan(docs_of(spark, texts)).collect()}
-    assert got == {0: "MIT", 1: "MIT", 2: None, 3: None, 4: None}
+#: Two public licence texts.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def license_files():
+    """(text, license) of usual licence files."""
+    wrapped = "\n\n".join("\n".join(textwrap.fill(part, 60) for part in x.replace("OR COPYRIGHT", "OR\nCOPYRIGHT").split("\n")) for x in MIT.split("\n\n"))
+    assert "\nCOPYRIGHT HOLDERS" in wrapped
+    files = [
+        (f"MIT License\n\nCopyright (c) 2020 Someone\n\n{MIT}\n", "MIT"),
+        (f"The MIT License (MIT)\r\n\r\nCopyright 2020 Someone, all rights reserved\r\n\r\n{MIT}", "MIT"),
+        (f"Copyright (c) 2020 Someone\nAll rights reserved.\n\n{MIT.upper()}", "MIT"),
+        (f"Copyright The Someone Authors\n\n{MIT}", "MIT"),
+        (MIT.replace("\n", " \n ").replace("sublicense", "sub-licence").replace('"', "“"), "MIT"),
+        (wrapped, "MIT"),
+        ("".join(f"// {x}\n" for x in wrapped.split("\n")), "MIT"),
+        (f"zlib License\n\n(C) 2020 Someone\n\n{ZLIB}", "Zlib"),
+        (ZLIB.replace("1. ", "- ").replace("2. ", "- ").replace("3. ", "- ").replace("acknowledgment", "acknowledgement"), "Zlib"),
+        (f"BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n{BSD}", "BSD-3-Clause"),
+        (BSD.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ").replace("the copyright holder nor", "Someone Inc. nor").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "SOMEONE").replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS", "SOMEONE"), "BSD-3-Clause"),
+        (MIT + " and more", None),
+        (None, None),
+        ("", None),
+    ]
+    usual = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0-Perl", "GFDL-1.3": "GFDL-1.3", "BSD": "BSD-3-Clause"}
+    folder = Path("/usr/share/common-licenses")
+    return files + [((folder / f).read_text(), name) for f, name in usual.items() if (folder / f).is_file()]
+
+
+def test_license_files(spark):
+    files = license_files()
+    got = {r["doc_id"]: r["license"] for r in licenses.license_scan(docs_of(spark, [t for t, _ in files])).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(files)}
+    known = spark.createDataFrame([("mine", "Use it, as you like."), ("none", None)], "license string, text string")
+    got = licenses.license_scan(docs_of(spark, ["Copyright 2021 Me\nUSE it as you\n like", MIT, ""]), known).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in got) == [(0, "mine"), (1, None), (2, None)]
+
+
+def test_license_notices(spark):
+    lines = ["some prose\nReleased under the MIT Licence\r\nand more\n# licensed under CC-BY-NC 4.0!", "Released under the MIT License. Or not", None, "x " * 400_000 + "\nLicensed under the Apache License, Version 2.0.", "Released under the MIT License.\n" * 3]
+    got = {r["doc_id"]: r["notices"] for r in licenses.license_scan(docs_of(spark, lines)).collect()}
+    assert got == {0: "CC-BY-NC-4.0,MIT", 1: None, 2: None, 3: "Apache-2.0", 4: "MIT"}
+
+
+def test_license_sql_on_license_files(spark, tmp_path):
+    texts = [t for t, _ in license_files()] + ["x\nReleased under the MIT License.", "Été\r\n\t- 2. Released, under the MIT licence\n"]
+    docs_of(spark, texts).drop("digest").write.parquet(f"{tmp_path}/documents.parquet")
+    got = spark_rows(QUERIES["op4_license_scan"](spark, str(tmp_path)))
+    assert got == duck_rows(ORACLES["op4_license_scan"], str(tmp_path)) and sum("BSD-3-Clause" in str(r) for r in got[1]) >= 2
 
 
 def test_chat_snapshots(spark):
