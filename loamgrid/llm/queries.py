@@ -16,6 +16,7 @@ from loamgrid.llm.packing import pack
 from loamgrid.llm.quality import score_quality
 from loamgrid.llm.secret_scan import secret_report
 from loamgrid.llm.token_counts import token_counts
+from loamgrid.llm.topk import ORACLE_SQL as ORACLE_TOPK
 from loamgrid.llm.topk import topk
 
 
@@ -64,15 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op1_exact_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
-                   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-             s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
-                   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
-        SELECT query_id, rank, vec_id, score FROM (
-            SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
-        WHERE rank <= 5""",
+    "op1_exact_topk": ORACLE_TOPK,
     "op4_license_scan": licenses.oracle_sql(),
     "op8_chat_format": chat.ORACLE_SQL,
     "op9_exact_dedup": f"""

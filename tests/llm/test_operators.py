@@ -48,21 +48,44 @@ def test_topk_ties_and_bad_vectors(spark):
     from pyspark.sql import functions as F
 
     rows = [(i, [0.5, 0.25, -0.125], 0) for i in range(60)] + [(100, None, 0), (150, [0.5, None, 0.1], 0), (200, [float("nan"), 0.0, 0.0], 0), (250, [1.0], 0), (None, [1.0, 0.0, 0.0], 0)]
-    got = topk.topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), F.col("id") % 50 == 0, block=7, query_block=2, slices=2).collect()
+    got = topk.topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), F.col("id") % 50 == 0, group=7, chunk=3, query_block=2, slices=2).collect()
     by = {q: [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in {r["query_id"] for r in got}}
     same = 128 * 128 + 64 * 64 + 32 * 32
-    assert by[0] == [(250, 128 * 256), *((i, same) for i in (1, 2, 3, 4))]
-    assert by[250] == [(i, 128 * 256) for i in range(5)] and set(by) == {0, 50, 250}
+    assert by[0] == [(250, 128 * 256), (None, 128 * 256), *((i, same) for i in (1, 2, 3))]
+    assert by[250] == [(None, 256 * 256), *((i, 128 * 256) for i in range(4))] and set(by) == {0, 50, 250}
 
 
-def test_topk_against_all_products(spark):
+def plain_topk(rows, k):
+    """Every row against every other one, in whole numbers, scores beyond long at its ends."""
+    top = 2**63
+    whole = [(i, [max(-top, min(top - 1, math.floor(256 * x))) for x in v]) for i, v in rows]
+    clip = lambda x: max(-top, min(top - 1, x))
+    out = []
+    for a, (q, x) in enumerate(whole):
+        if q is not None and q % 50 == 0:
+            found = sorted((-clip(sum(s * t for s, t in zip(x, y, strict=False))), i is None, i or 0) for b, (i, y) in enumerate(whole) if b != a)
+            out += [(q, rank, None if none else i, -score) for rank, (score, none, i) in enumerate(found[:k], 1)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("scale", [0.4, 3e6, 4e9, 1e30])
+def test_topk_against_all_products(spark, scale):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(400, 16)) * scale * rng.choice([0.1, 1, 3], size=(400, 1))
+    rows = [(i - i % 7 if i % 3 else i, v.tolist()) for i, v in enumerate(m)] + [(None, m[7].tolist()), (50, [0.0] * 16), (50, m[8].tolist()[:9])]
+    got = topk.topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, group=64, chunk=16, query_block=3).collect()
+    assert sorted(map(tuple, got), key=str) == plain_topk(rows, 5)
+
+
+def test_topk_of_fewer_candidates_than_k(spark):
     from pyspark.sql import functions as F
 
-    m = np.random.default_rng(3).normal(size=(400, 16)) * 0.4
-    got = topk.topk(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, block=64, query_block=3).collect()
-    q = np.floor(256 * m).astype(int)
-    want = [(i, k + 1, j, int(q[i] @ q[j])) for i in range(0, 400, 50) for k, j in enumerate(sorted((x for x in range(400) if x != i), key=lambda j: (-(q[i] @ q[j]), j))[:5])]
-    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+    rows = [(0, [1.0, 2.0]), (50, [-1.0, 0.5]), (3, [0.25, 0.0])]
+    for some in (rows, rows[:1], rows[2:]):
+        got = topk.topk(spark.createDataFrame(some, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect()
+        assert sorted(map(tuple, got), key=str) == plain_topk(some, 5)
 
 
 def test_token_counts_equal_the_library(spark):
