@@ -13,7 +13,8 @@ only thing sent to the executors.  Everything else covers all rows.
 
 Defined results: null text counts as empty; an empty text is scored by the bias alone; without
 labels every score is 0.5; rows repeated in ``labels`` count once (label 1 if any says so); null
-labels and ids are left out; repeated documents are scored each; labels, lang, source and doc_id
+labels and ids are left out; of several texts with one doc_id the one with the least hash teaches,
+whatever the order of rows; repeated documents are scored each; labels, lang, source and doc_id
 are never inputs of a score.
 """
 
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.llm import textkernel as tk
+from loamgrid.llm.common import text_or_empty
 
 THRESHOLD = 0.3
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -120,7 +122,7 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> np.ndar
     weights = lambda at: np.where(np.abs(z[at]) <= s.l1, 0.0, -(z[at] - np.sign(z[at]) * s.l1) / ((s.beta + np.sqrt(n[at])) / s.alpha + s.l2))
     for _ in range(s.epochs):
         for label, slots, values in rows:
-            at, x = np.append(slots.astype(np.int64), size - 1), np.append(values * s.scale, 1.0)
+            at, x = np.append(slots.astype(np.int64), size - 1), np.append(values.astype(np.float64) * s.scale, 1.0)
             w = weights(at)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
             grown = n[at] + g * g
@@ -136,12 +138,12 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     s = settings or Settings()
     known = labels.select(F.col("doc_id").cast("long").alias("key"), F.col("quality").cast("int").alias("label")).dropna()
     known = known.where(~held_out("key")).groupBy("key").agg(F.max("label").alias("label"))
-    # A bounded sample: at most max_training_rows ids travel to where the texts are.
+    # A bounded sample: at most max_training_rows ids, and one text of each: the first by its hash.
     sample = known.orderBy(F.xxhash64("key"), "key").limit(s.max_training_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("key"), "text").join(F.broadcast(sample), "key")
-    found = sparse_rows(texts, s).toArrow()
+    one = texts.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64(text_or_empty()).alias("mark"), "text")).alias("x")).select("key", "label", "x.text")
+    found = sparse_rows(one, s).toArrow()
     order = sorted(range(found.num_rows), key=lambda i: ((keys[i] * 0x9E3779B97F4A7C15) & ((1 << 61) - 1), keys[i])) if (keys := found["key"].to_pylist()) else []
-    order = [i for k, i in enumerate(order) if not k or keys[i] != keys[order[k - 1]]]  # a repeated document teaches once
     labels_, slots, values = (found[c].combine_chunks() for c in ("label", "slots", "values"))
 
     def row(i: int) -> tuple[int, np.ndarray, np.ndarray]:
