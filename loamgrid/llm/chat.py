@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loamgrid.llm.common import cut
+
 BLOCK_BITS = 8
 
 
@@ -55,7 +57,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies of the conversations that are no proper prefix of another."""
-    hashed = prefixes(turns)
+    hashed = cut(prefixes(turns))
     last = hashed.groupBy("conv_id").agg(F.max(F.struct("n", "h1", "h2")).alias("l")).select("conv_id", "l.*")
     distinct = last.groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
     ends = last.select("conv_id", F.col("n").alias("end"))
@@ -68,8 +70,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
     A turn is rendered as <|role|>, its text and <|end|>, each on its own line.
     """
-    turns = _turns(conversations)
-    kept = maximal_conversations(turns)
+    turns = cut(_turns(conversations))
+    kept = cut(maximal_conversations(turns))
     lines = turns.join(kept.select("conv_id"), "conv_id", "left_semi").withColumn("line", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n")))
     # Two steps, by range and by conversation, so that the parts of a long one are joined side by side.
     parts = lines.groupBy("conv_id", "range").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("x"))
