@@ -2,10 +2,10 @@
 
 Texts are equal when they are identical after lower-casing A-Z.  A document's digest is the SHA-256
 of that text.  Digests are pre-aggregated over (digest, salt), so that of any number of copies at
-most ``SALTS`` rows travel on, then dealt by digest to index buckets.  Each bucket is a
-:class:`CuckooIndex`: a cuckoo filter answers whether a digest may be live, a hit is verified
-against the full keys stored for its slot, and a filter that overflows is rebuilt with twice the
-buckets from the stored keys.  When a larger doc_id arrives, the live entry is deleted and the new
+most ``SALTS`` rows travel on, then dealt by digest to index buckets, whose number grows with the
+rows.  Each bucket is a :class:`CuckooIndex`: a cuckoo filter answers whether a digest may be live,
+a hit is verified against the full keys stored for its slot, and a filter that overflows is rebuilt
+with twice the buckets from the stored keys.  When a larger doc_id arrives, the live entry is deleted and the new
 one inserted.
 
 Defined results: null text equals empty text; of equal texts the largest doc_id stays, a null
@@ -25,6 +25,8 @@ from loamgrid.llm.common import shuffle_width, spare, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 16
+#: An index bucket gets about so many digests at most, whatever the input.
+BUCKET_ROWS = 500_000
 
 
 class CuckooIndex:
@@ -132,7 +134,8 @@ def digests(docs: DataFrame) -> DataFrame:
 def live_index(hashed: DataFrame) -> DataFrame:
     """digest, keep_id, group_size: what the index holds after all rows of (doc_id, digest)."""
     salted = hashed.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("rows"))
-    dealt = salted.select("digest", "top", "rows").repartition(shuffle_width(hashed.sparkSession), "digest")
+    buckets = max(shuffle_width(hashed.sparkSession), -(-hashed.count() // BUCKET_ROWS))
+    dealt = salted.select("digest", "top", "rows").repartition(buckets, "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CuckooIndex()

@@ -527,6 +527,54 @@ def test_quality_on_held_out_rows(spark):
     assert [(r["score"], r["predicted"]) for r in none] == [(0.5, 1), (0.5, 1)]
 
 
+def plain_ftrl(rows, s):
+    """The updates written out coordinate by coordinate."""
+    z, n = Counter(), Counter()
+    bias = 1 << s.bits
+
+    def weight(i):
+        if abs(z[i]) <= s.l1:
+            return 0.0
+        return -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for label, slots, values in rows:
+            x = {int(i): float(v) * s.scale for i, v in zip(slots, values, strict=True)} | {bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(w[i] * x[i] for i in x)))))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) * (1 if i == bias else s.scale) for i in [*z]}
+
+
+def test_ftrl_against_plain_updates():
+    rng = np.random.default_rng(1)
+    s = quality.Settings(bits=6, epochs=4)
+    rows = []
+    for _ in range(60):
+        slots = np.sort(rng.choice(64, 9, replace=False)).astype(np.uint32)
+        rows.append((int(slots.sum() % 3 == 0), slots, rng.random(9).astype(np.float32)))
+    got, want = quality.ftrl(rows, s), plain_ftrl(rows, s)
+    assert np.abs(got).max() > 0.1 and all(abs(got[i] - want.get(i, 0.0)) < 1e-9 for i in range(65))
+
+
+def test_quality_on_awkward_rows(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["good", "fine", "word"] if i % 2 else ["BAD", "!!", "$$"], k=30)) for i in range(40)] + ["word " * 300_000, "", None, "BAD", "good"]
+    ids = [*range(42), None, 7, 7]
+    d = docs_of(spark, texts, ids).withColumn("score", F.lit(9)).withColumn("label", F.lit("x"))
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0), (7, 0, 1), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = lambda x: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"], r["predicted"]) for r in quality.score_quality(x, lab).collect())
+    got = rows(d)
+    assert len(got) == len(texts) and got == rows(d.orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))) == rows(d.repartition(3))
+    kept = quality.keep_good(d, lab)
+    assert kept.columns == d.columns and kept.count() == sum(p for *_, p in got)
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as p
 
@@ -538,6 +586,46 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r["doc_id"] for r in p.run(spark, sf_dir).select("doc_id").distinct().collect()} == kept and kept
 
 
+def test_pipeline_against_brute_force_on_awkward_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = random.Random(11)
+    good, bad = [f"good{i}" for i in range(50)], ["BAD", "!!", "$$"]
+    base = [" ".join(rng.choices(good, k=60)) for _ in range(25)]
+    texts = [*base, *(t.upper() for t in base[:5]), *(f"{t} more" for t in base[5:12]), *base[12:15], *(" ".join(rng.choices(bad, k=40)) for _ in range(15)), "", None, "", "...", "good1 " * 100_000]
+    ids = [*range(len(texts) - 6), 2, None, None, 3, 3, 10**12]
+    rows = [(i, t, None if k % 4 else "en", f"s{k % 3}" if k % 5 else None, None, k, "x") for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    d = spark.createDataFrame([*rows, rows[3], rows[-1]], "doc_id long, text string, lang string, source string, n_chars long, slot int, __keep string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int("good" in (t or "").lower()), 0) for i, t in zip(ids, texts, strict=True) if i is not None and i < 50], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    rows_of = lambda x: Counter(map(tuple, x.collect()))
+    docs = [spark.read.parquet(f"{tmp_path}/documents.parquet")]
+    for name, stage in p.STAGES[:-1]:
+        stage(spark, docs[-1], str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs.append(spark.read.parquet(f"{tmp_path}/{name}"))
+        assert docs[-1].columns == d.columns
+    tables = [rows_of(x) for x in docs]
+    weights = quality.train(docs[0], labels)
+    want = Counter({r: n for r, n in tables[0].items() if quality.scores([r[1] or ""], weights.astype(np.float32), 20)[0] >= 0.3})
+    assert tables[1] == want and 0 < want.total() < tables[0].total() - 10
+    top = {}
+    for r in tables[1]:
+        key = re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or "")
+        top[key] = max(top.get(key, r), r, key=lambda x: -1 if x[0] is None else x[0])
+    assert Counter({(r[0], r[1] or "") for r in top.values()}) == Counter((r[0], r[1] or "") for r in tables[2].elements())
+    left = sorted(tables[2], key=lambda r: (r[0] is None, r[0] or 0))
+    classes = brute_classes([r[1] for r in left])
+    assert Counter(left[c] for c in set(classes)) == tables[3] and len(set(classes)) < len(left)
+    assert tables[4] == tables[3]
+    enc = packing.encoder(packing.default_path())
+    got = Counter()
+    for r in p.run(spark, str(tmp_path)).collect():
+        got[r["doc_id"], r["doc_tokens"]] += r["length"]
+    sizes = Counter((r[0], len(enc.whole(r[1] or "")) + 1) for r in tables[4].elements())
+    assert got == Counter({k: k[1] * n for k, n in sizes.items()})
+
+
 def test_stages_keep_columns_with_clashing_names(spark):
     from pyspark.sql import functions as F
 
