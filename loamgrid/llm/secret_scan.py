@@ -81,9 +81,24 @@ def both(queries: Iterable[Query], kind: str = "all") -> Query:
     return parts[0] if len(parts) == 1 else (kind, *parts)
 
 
+#: The letters that are most frequent in European texts, and the space.
+FREQUENT = "etaoinsrlhdcu "
+#: So many trigrams of a string are asked for at most: the ones with the fewest frequent letters.
+MOST_TRIGRAMS = 2
+
+
 def of_strings(strings: Iterable[str]) -> Query:
-    """What a text must hold if it holds one of the strings."""
-    return both((both(("has", s[i : i + 3]) for i in range(len(s) - 2)) for s in sorted(strings)), "any")
+    """What a text must hold if it holds one of the strings: of each its rarest trigrams, which is
+    less than all of them, so no match is lost.  A string that holds another one needs no query."""
+    strings = set(strings)
+    strings = {s for s in strings if not any(other != s and other in s for other in strings)}
+    common = lambda g: sum(c in FREQUENT for c in g)
+
+    def one(s: str) -> Query:
+        grams = dict.fromkeys(s[i : i + 3] for i in range(len(s) - 2))
+        return both(("has", g) for g in sorted(grams, key=common)[:MOST_TRIGRAMS])
+
+    return both(map(one, sorted(strings)), "any")
 
 
 def _class(items) -> set[str] | None:
@@ -160,9 +175,8 @@ def vocabulary(rules: tuple[Rule, ...] = RULES) -> list[str]:
 _BITS = 63  # of one long
 
 
-def posting_bits(text: Column, grams: list[str]) -> Column:
-    """Membership of a text in the posting list of each trigram, one bit each, as array<long>."""
-    low = F.lower(text)
+def posting_bits(low: Column, grams: list[str]) -> Column:
+    """Membership of a lower-cased text in the posting list of each trigram, one bit each, as array<long>."""
     one = lambda i, g: F.when(F.contains(low, F.lit(g)), F.lit(1 << i % _BITS).cast("long")).otherwise(F.lit(0).cast("long"))
     word = lambda at: reduce(lambda a, b: a.bitwiseOR(b), (one(i, g) for i, g in list(enumerate(grams))[at : at + _BITS]))
     return F.array(*(word(at) for at in range(0, len(grams), _BITS))).cast("array<bigint>")
@@ -183,7 +197,7 @@ def satisfies(query: Query, bits: Column, grams: list[str]) -> Column:
 def trigram_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, text and the posting bits of every row."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return base.withColumn("bits", posting_bits(F.col("text"), vocabulary(rules)))
+    return base.withColumn("low", F.lower("text")).select("doc_id", "text", posting_bits(F.col("low"), vocabulary(rules)).alias("bits"))
 
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
