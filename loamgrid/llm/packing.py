@@ -21,7 +21,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -98,19 +97,15 @@ class Encoder:
         starts, ends = tk.tokens(batch, joins_space=False, points=points)
         if not len(starts):
             return [np.zeros(0, np.int32) for _ in texts]
-        first, back = tk.distinct_ranges(points, starts, ends)
-        lower = batch.joined.lower()  # code points here keep their number
-        parts = [lower[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        known = [self.memo.get(p) for p in parts]
-        new = [i for i, ids in enumerate(known) if ids is None]
-        if new:
-            lists = [tuple(e.ids) for e in self.library.encode_batch_fast([parts[i] for i in new], add_special_tokens=False)]
-            self.memo.keep([parts[i] for i in new], lists)
-            for i, ids in zip(new, lists, strict=True):
-                known[i] = ids
-        lengths = np.fromiter(map(len, known), np.int64, len(known))
+        first, back, keys = tk.distinct_ranges(points, starts, ends)
+        s, e = starts[first], ends[first]
+
+        def compute(new: np.ndarray) -> list[list[int]]:
+            parts = [batch.joined[a:b] for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)]
+            return [x.ids for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+
+        lengths, ids = self.memo.ragged(keys, points, s, e, compute)
         place = np.concatenate([[0], np.cumsum(lengths)])
-        ids = np.fromiter(chain.from_iterable(known), np.int32, int(place[-1]))
         sizes = lengths[back]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         flat = ids[np.repeat(place[back] - upto[:-1], sizes) + np.arange(upto[-1])]

@@ -8,8 +8,9 @@ All functions are pure numpy and work on whole texts.  Batches are bounded by ch
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -108,17 +109,18 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return _hashes(values[at], place, bounds)
 
 
-def distinct_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, back): the first range of each distinct content, and each range's place among them.
+def distinct_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, back, key): the first range of each distinct content, each range's place among them,
+    and the hash of each distinct content.
 
     Ranges are grouped by their hashes, and then every range is compared with the first of its
     group; those that differ form groups of their own.
     """
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at, place, bounds = _expanded(starts, ends)
     content = values[at]
-    _, first, back = np.unique(_hashes(content, place, bounds), return_index=True, return_inverse=True)
+    key, first, back = np.unique(_hashes(content, place, bounds), return_index=True, return_inverse=True)
     lead, size = first[back], ends - starts
     at = np.repeat(starts[lead].astype(place.dtype), size)
     at += place
@@ -134,8 +136,9 @@ def distinct_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
                 groups[content] = len(firsts)
                 firsts.append(i)
             back[i] = groups[content]
-        first = np.array(firsts)
-    return first, back
+        more = np.array(firsts[len(first) :])
+        first, key = np.array(firsts), np.concatenate([key, range_hashes(values, starts[more], ends[more])])
+    return first, back, key
 
 
 def slices(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
@@ -329,21 +332,65 @@ def cut_long(text: str, most: int) -> list[str]:
     return parts
 
 
-class TokenMemo(dict):
-    """Values of pre-tokens by their whole text, for one Python worker.
+class TokenMemo:
+    """Whole numbers known of pre-tokens, for one Python worker.
 
-    It only saves work: a pre-token that isn't there is computed anew.  It is emptied before it
-    would hold more than ``most`` characters, so its memory is bounded.
+    A pre-token is found by its hash and then compared with the stored text, so a hit is never
+    another one's.  It only saves work: what isn't there is computed anew.  It is emptied before
+    it would hold more than ``most`` pre-tokens or eight times as many characters.
     """
 
-    def __init__(self, most: int = 8_000_000) -> None:
-        self.most, self.size = most, 0
-
-    def keep(self, texts: list[str], values: list) -> None:
-        size = sum(map(len, texts)) + 8 * len(texts)
-        if self.size + size > self.most:
-            self.clear()
-            self.size = 0
-        if size <= self.most:
-            self.update(zip(texts, values, strict=True))
-            self.size += size
+    def __init__(self, most: int = 1_500_000) -> None:
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.text, self.text_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.data, self.data_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _find(self, keys: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of each range, -1 where there is none with its text."""
+        out = np.full(len(keys), -1, np.int64)
+        if not len(self.keys):
+            return out
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == keys)
+        found = self.entry[at[hit]]
+        same = self.text_at[found + 1] - self.text_at[found] == ends[hit] - starts[hit]
+        hit, found = hit[same], found[same]
+        here, place, bounds = _expanded(starts[hit], ends[hit])
+        there = np.repeat(self.text_at[found], np.diff(bounds)) + place
+        differs = np.flatnonzero(values[here] != self.text[there])
+        good = np.ones(len(hit), bool)
+        good[np.searchsorted(bounds, differs, side="right") - 1] = False
+        out[hit[good]] = found[good]
+        return out
+
+    def ragged(self, keys: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, compute: Callable[[np.ndarray], list]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, flat) of the numbers of each range; ``compute`` gives those of ranges not known."""
+        entry = self._find(keys, values, starts, ends)
+        new = np.flatnonzero(entry < 0)
+        room = 8 * self.most - len(self.text)
+        if len(self.data_at) + len(new) > self.most or int((ends[new] - starts[new]).sum()) > room:
+            self._clear()
+            new = np.arange(len(keys))
+        if len(new):
+            lists = compute(new)
+            first = len(self.data_at) - 1
+            entry[new] = np.arange(first, first + len(new))
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            here, _, bounds = _expanded(starts[new], ends[new])
+            self.data = np.concatenate([self.data, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))])
+            self.data_at = np.concatenate([self.data_at, self.data_at[-1] + np.cumsum(sizes)])
+            self.text = np.concatenate([self.text, values[here].astype(np.uint32)])
+            self.text_at = np.concatenate([self.text_at, self.text_at[-1] + bounds[1:]])
+            # Of texts that share a hash the first keeps the key.
+            k, at = np.unique(keys[new], return_index=True)
+            free = ~np.isin(k, self.keys, assume_unique=True)
+            k, e = np.concatenate([self.keys, k[free]]), np.concatenate([self.entry, entry[new][at[free]].astype(np.int32)])
+            order = np.argsort(k, kind="stable")
+            self.keys, self.entry = k[order], e[order]
+        sizes = self.data_at[entry + 1] - self.data_at[entry]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        return sizes, self.data[np.repeat(self.data_at[entry] - bounds[:-1], sizes) + np.arange(bounds[-1])]

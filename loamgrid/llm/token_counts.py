@@ -185,14 +185,14 @@ class Counter:
             self.bpe.reset()
         batch = tk.Batch(texts)
         starts, ends = tk.tokens(batch, joins_space=True)
-        first, back = tk.distinct_ranges(batch.points, starts, ends)
-        pieces = [batch.joined[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        values = [self.memo.get(p) for p in pieces]
-        new = [i for i, v in enumerate(values) if v is None]
-        for i in new:
-            values[i] = self.bpe.count(pieces[i].encode())
-        self.memo.keep([pieces[i] for i in new], [values[i] for i in new])
-        counts = np.array(values, np.int64)
+        first, back, keys = tk.distinct_ranges(batch.points, starts, ends)
+        s, e = starts[first], ends[first]
+
+        def compute(new: np.ndarray) -> list[tuple[int]]:
+            text, count = batch.joined, self.bpe.count
+            return [(count(text[a:b].encode()),) for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)]
+
+        _, counts = self.memo.ragged(keys, batch.points, s, e, compute)
         out = np.bincount(batch.owner(starts), weights=counts[back], minlength=len(texts)).astype(np.int64)
         odd = tk.unassigned_table()[batch.points]
         for i in {*batch.owner(np.flatnonzero(odd)).tolist(), *(i for i, t in enumerate(texts) if any(m in t for m in self.added))}:

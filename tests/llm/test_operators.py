@@ -126,8 +126,25 @@ def test_ranges_are_grouped_by_content_whatever_their_hashes(monkeypatch):
     hashes = tk._hashes
     for mask in (2**64 - 1, 7, 0):
         monkeypatch.setattr(tk, "_hashes", lambda *x, mask=mask: hashes(*x) & np.uint64(mask))
-        first, back = tk.distinct_ranges(values, starts, ends)
-        assert [content[i] for i in first[back]] == content and len(set(content)) == len(first)
+        first, back, key = tk.distinct_ranges(values, starts, ends)
+        assert len(key) == len(first) and [content[i] for i in first[back]] == content and len(set(content)) == len(first)
+
+
+def test_memo_gives_each_text_its_own_numbers_whatever_the_hashes(monkeypatch):
+    rng = random.Random(5)
+    hashes = tk._hashes
+    for mask in (2**64 - 1, 3, 0):
+        monkeypatch.setattr(tk, "_hashes", lambda *x, mask=mask: hashes(*x) & np.uint64(mask))
+        memo = tk.TokenMemo(60)
+        for _ in range(30):
+            words = ["".join(rng.choices("abc", k=rng.randint(0, 4))) for _ in range(25)]
+            batch = tk.Batch(words)
+            starts = batch.seps - batch.lengths
+            first, back, keys = tk.distinct_ranges(batch.points, starts, batch.seps)
+            s, e = starts[first], batch.seps[first]
+            sizes, flat = memo.ragged(keys, batch.points, s, e, lambda new, s=s, e=e, t=batch.joined: [[*map(ord, t[a:b])] for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)])
+            bounds = np.cumsum(sizes)[:-1]
+            assert ["".join(map(chr, x)) for x in np.split(flat, bounds)] == [words[i] for i in first]
 
 
 def test_near_dedup_keeps_words_that_hash_alike_apart(spark):
