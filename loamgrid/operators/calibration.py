@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.functions.arrays import lit_array
+from loamgrid.functions.quantiles import percentiles
 
 #: Solar irradiance (W/m2/nm) at 400, 450, ... 2500 nm.
 SOLAR = [
@@ -131,8 +132,9 @@ def estimate_gains(cube: DataFrame, reference: DataFrame | None = None) -> DataF
 
 def scene_statistics(cube: DataFrame) -> DataFrame:
     """band, mean, std (population), min, max, p1, p99."""
-    q = F.percentile("x", F.array(F.lit(0.01), F.lit(0.99)))
-    return by_band(cube).groupBy("band").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), q.alias("q")).select("band", "mean", "std", "min", "max", F.col("q")[0].alias("p1"), F.col("q")[1].alias("p99"))
+    x = by_band(cube)
+    s = x.groupBy("band").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return s.join(percentiles(x, ["band"], "x", [0.01, 0.99]), "band").select("band", "mean", "std", "min", "max", F.get("q", F.lit(0)).alias("p1"), F.get("q", F.lit(1)).alias("p99"))
 
 
 # Atmospheric correction.
@@ -153,7 +155,7 @@ def dark_object(cube: DataFrame, waves: list[float], percentile: float = 0.01) -
     """Dark object subtraction: per-band means of the darkest pixels of band 50 (or the last) give
     the path radiance, with the Rayleigh level as its floor."""
     band = F.element_at("spec", 51 if len(waves) > 50 else -1)
-    limit = cube.agg(F.percentile(band, F.lit(percentile)).alias("limit"))
+    limit = percentiles(cube.select(band.alias("x")), [], "x", [percentile]).select(F.get("q", F.lit(0)).alias("limit"))
     dark = cube.join(F.broadcast(limit)).where(band <= F.col("limit"))
     level = _band_row(by_band(dark).groupBy("band").agg(F.avg("x").alias("m")), F.col("m"), "dark")
     floor, through = lit_array([0.001 * (550 / w) ** 4 for w in waves]), lit_array([estimated_transmittance(w) for w in waves])

@@ -103,7 +103,7 @@ def patches(parts: DataFrame, pixel: float = 1.0) -> DataFrame:
 
 def small_patch_removal(labels: DataFrame, least: int = 9, most: int | None = None, tile: int = 256) -> DataFrame:
     """Pixels of patches outside [least, most] take the class of the nearest pixel that stays
-    (ties: the first by row, then column); the ring of cells searched grows until it is certain."""
+    (ties: the first by row, then column); pixels that find none look in a disk twice as wide."""
     parts = cut(components(labels, True, tile))
     sizes = parts.groupBy("patch").agg(F.count(F.lit(1)).alias("n"))
     good = sizes.where((F.col("n") >= least) & (F.lit(True) if most is None else F.col("n") <= most)).select("patch")
@@ -112,11 +112,14 @@ def small_patch_removal(labels: DataFrame, least: int = 9, most: int | None = No
     done, reach = kept, 2
     limit = sum(x or 0 for x in (grid_size(parts).first() or (0, 0)))
     while todo.limit(1).count() and kept.limit(1).count():
-        found = spread(kept.select("row", "col", F.col("cls").alias("c"), F.col("row").alias("sr"), F.col("col").alias("sc")), disk(reach), reflect=False, size=grid_size(parts))
-        d2 = (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d")
-        near = found.join(todo, ["row", "col"]).groupBy("row", "col").agg(F.min(F.struct(d2, "sr", "sc", "c")).alias("x")).select("row", "col", F.col("x.c").alias("cls"))
-        done = done.unionByName(cut(near))
-        todo = cut(todo.join(near, ["row", "col"], "left_anti"))
+        # Only pixels without a class look around; most are done with the smallest disk.
+        at = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(r * r + c * c).alias("d")) for r, c, _ in disk(reach))))
+        asks = todo.select(F.col("row").alias("tr"), F.col("col").alias("tc"), at.alias("o")).select("tr", "tc", (F.col("tr") + F.col("o.r")).alias("row"), (F.col("tc") + F.col("o.c")).alias("col"), "o.d")
+        near = asks.join(kept, ["row", "col"]).groupBy("tr", "tc").agg(F.min(F.struct("d", "row", "col", "cls")).alias("x"))
+        near = cut(near.select(F.col("tr").alias("row"), F.col("tc").alias("col"), F.col("x.cls").alias("cls")))
+        done = done.unionByName(near)
+        before, todo = todo, cut(todo.join(near, ["row", "col"], "left_anti"))
+        discard(before)
         if reach > limit:
             break
         reach *= 2

@@ -3,39 +3,75 @@
 from __future__ import annotations
 
 import math
-from itertools import count
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.lineage import cut
+from loamgrid.lineage import cut, discard
 from loamgrid.operators.components import graph_components
-from loamgrid.operators.stencil import grid_size, spread
 
 _STEPS = [(r, c, math.hypot(r, c)) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)]
 
 
-def cost_distance(resist: DataFrame, seeds: DataFrame, most_rounds: int | None = None) -> DataFrame:
+def _in_tiles(cells: DataFrame, tile: int) -> DataFrame:
+    """A row for each tile that a cell belongs to or borders on: adds tr, tc and own."""
+    around = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda j: F.struct(F.floor((F.col("row") + i) / tile).alias("tr"), F.floor((F.col("col") + j) / tile).alias("tc"))))
+    out = cells.withColumn("_t", F.explode(F.array_distinct(F.flatten(around)))).select("*", "_t.tr", "_t.tc").drop("_t")
+    return out.withColumn("own", (F.col("tr") == F.floor(F.col("row") / tile)) & (F.col("tc") == F.floor(F.col("col") / tile)))
+
+
+def _relax(cost: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Least costs within a window, given costs to start from; r is infinite where there is no cell."""
+    padded = np.pad(r, 1, constant_values=np.inf)
+    steps = [(slice(1 + dr, 1 + dr + len(r)), slice(1 + dc, 1 + dc + r.shape[1]), k) for dr, dc, k in _STEPS]
+    weights = [k * (padded[a, b] + r) / 2 for a, b, k in steps]
+    while True:
+        from_ = np.pad(cost, 1, constant_values=np.inf)
+        new = cost
+        for (a, b, _), w in zip(steps, weights, strict=True):
+            new = np.minimum(new, from_[a, b] + w)
+        if not (new < cost - 1e-12).any():
+            return new
+        cost = new
+
+
+def cost_distance(resist: DataFrame, seeds: DataFrame, tile: int = 256) -> DataFrame:
     """row, col, source, cost: least cost from each source's pixels over (row, col, r).
 
-    A step costs its length times the mean resistance of its two pixels.  Costs relax outwards from
-    the pixels that changed in the last round, so each round's join holds the frontier alone.
-    Rounds go on until nothing changes; beyond ``most_rounds``, if given, an unfinished table is refused.
+    A step costs its length times the mean resistance of its two pixels.  Costs relax inside a tile
+    at once; only tiles next to a border pixel that changed work in the next round, so rounds grow
+    with the tiles that a path crosses, and go on until no border pixel changes.
     """
-    size = grid_size(resist)
-    best = cut(seeds.select("row", "col", "source", F.lit(0.0).alias("cost")))
-    front = best
-    for _ in count() if most_rounds is None else range(most_rounds):
-        moved = spread(front.join(resist, ["row", "col"]).withColumnRenamed("r", "ra"), [(-r, -c, k) for r, c, k in _STEPS], reflect=False, size=size)
-        reach = moved.join(resist, ["row", "col"]).groupBy("row", "col", "source").agg(F.min(F.col("cost") + F.col("k") * (F.col("ra") + F.col("r")) / 2).alias("new"))
-        better = reach.join(best, ["row", "col", "source"], "left").where(F.col("cost").isNull() | (F.col("new") < F.col("cost") - 1e-12))
-        front = cut(better.select("row", "col", "source", F.col("new").alias("cost")))
-        if not front.limit(1).count():
+    kind = seeds.schema["source"].dataType.simpleString()
+    cells = cut(_in_tiles(resist.select("row", "col", F.col("r").cast("double").alias("r")), tile))
+    best = cut(seeds.select("row", "col", "source", F.lit(0.0).alias("cost")).distinct().join(resist.select("row", "col"), ["row", "col"], "left_semi"))
+    active = _in_tiles(best, tile).select("tr", "tc", "source").distinct()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = pdf["row"].min(), pdf["col"].min()
+        at = ((pdf["row"] - r0).to_numpy(), (pdf["col"] - c0).to_numpy())
+        shape = (at[0].max() + 1, at[1].max() + 1)
+        r, cost = np.full(shape, np.inf), np.full(shape, np.inf)
+        r[at] = pdf["r"].to_numpy()
+        cost[at] = pdf["cost"].fillna(np.inf).to_numpy()
+        with np.errstate(invalid="ignore"):
+            new = _relax(cost, r)
+        lower = pdf["own"].to_numpy() & (new[at] < cost[at] - 1e-12)
+        return pdf.loc[lower, ["row", "col", "source"]].assign(cost=new[at][lower])
+
+    while True:
+        rows = cells.join(active, ["tr", "tc"]).join(best, ["row", "col", "source"], "left")
+        new = cut(rows.groupBy("tr", "tc", "source").applyInPandas(run, f"row long, col long, source {kind}, cost double"))
+        if not new.limit(1).count():
+            return best
+        before, best = best, cut(best.join(new.select("row", "col", "source"), ["row", "col", "source"], "left_anti").unionByName(new.select(*best.columns)))
+        active = cut(_in_tiles(new, tile).where("not own").select("tr", "tc", "source").distinct())
+        discard(before, new)
+        if not active.limit(1).count():
             return best
-        best = cut(best.join(front.select("row", "col", "source"), ["row", "col", "source"], "left_anti").unionByName(front))
-    raise ValueError(f"cost_distance isn't finished after {most_rounds} rounds")
 
 
 def functional_edges(costs: DataFrame, seeds: DataFrame, mobility: float) -> DataFrame:
@@ -75,87 +111,107 @@ def clustering(edges: DataFrame) -> DataFrame:
     return deg.join(n, "node", "left").select("node", "degree", F.when(F.col("degree") > 1, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0).alias("clustering"))
 
 
-def _hops(adj: np.ndarray) -> np.ndarray:
-    n = len(adj)
-    dist = np.full((n, n), np.inf)
-    np.fill_diagonal(dist, 0)
-    reach, step = np.eye(n, dtype=bool), 0
-    front = reach.copy()
-    while front.any():
-        step += 1
-        front = ((front.astype(np.float32) @ adj) > 0) & ~reach
-        dist[front] = step
-        reach |= front
-    return dist
-
-
-def efficiency(adj: np.ndarray) -> float:
-    """Mean inverse hop distance over ordered pairs."""
-    n = len(adj)
-    if n < 2:
-        return 0.0
-    d = _hops(adj)
-    off = ~np.eye(n, dtype=bool)
-    return float((1 / d[off]).sum() / (n * (n - 1)))
-
-
-MOST_NODES = 5000
-
-
-def _matrix(edges: DataFrame) -> tuple[list, np.ndarray]:
-    """The patch graph of one landscape as a matrix; larger graphs than MOST_NODES are refused."""
-    if edges.select(F.explode(F.array("a", "b")).alias("n")).distinct().limit(MOST_NODES + 1).count() > MOST_NODES:
-        raise ValueError(f"more than {MOST_NODES} patches; use the join-based measures")
-    rows = edges.select("a", "b").toPandas()
-    names = sorted({*rows["a"], *rows["b"]})
-    at = {n: i for i, n in enumerate(names)}
-    adj = np.zeros((len(names), len(names)), np.float32)
-    for a, b in zip(rows["a"], rows["b"], strict=True):
-        adj[at[a], at[b]] = adj[at[b], at[a]] = 1
-    return names, adj
+class Graph:
+    """An undirected graph as sorted neighbour lists; nodes are numbered in the order of names."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        i, j = ends[: len(a)], ends[len(a) :]
+        pairs = np.unique(np.concatenate([np.stack([i, j], 1), np.stack([j, i], 1)]), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        self.to, self.source = pairs[:, 0], pairs[:, 1]  # by target, so a reduction gives each its reach
+        self.degree = np.bincount(self.to, minlength=len(self.names))
+
+    def levels(self, starts: np.ndarray, gone: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """For each step from 1, the (starts, nodes) newly reached; removed nodes aren't passed."""
+        live = np.ones(len(self.to), bool) if gone is None else ~(gone[self.to] | gone[self.source])
+        to, source = self.to[live], self.source[live]
+        targets, first = np.unique(to, return_index=True)
+        front = np.zeros((len(starts), len(self.names)), bool)
+        front[np.arange(len(starts)), starts] = True
+        reach = front.copy()
+        while len(targets):
+            new = np.zeros_like(front)
+            new[:, targets] = np.logical_or.reduceat(front[:, source], first, axis=1)
+            front = new & ~reach
+            if not front.any():
+                return
+            reach |= front
+            yield front
+
+    def inverse_hops(self, gone: np.ndarray | None = None, block: int = 64) -> float:
+        """Sum of 1 / hops over ordered pairs of nodes that are left, by blocks of start nodes."""
+        left = np.arange(len(self.names)) if gone is None else np.flatnonzero(~gone)
+        return sum(float(f.sum()) / step for at in range(0, len(left), block) for step, f in enumerate(self.levels(left[at : at + block], gone), 1))
+
+    def efficiency(self, gone: np.ndarray | None = None) -> float:
+        """Mean inverse hop distance over ordered pairs of nodes that are left."""
+        n = len(self.names) - (0 if gone is None else int(gone.sum()))
+        return self.inverse_hops(gone) / (n * (n - 1)) if n > 1 else 0.0
+
+
+#: Hop distances need a node's whole surroundings: the edges of one graph are held by each worker,
+#: 32 bytes each.  Beyond so many edges only the joined measures apply.
+MOST_EDGES = 20_000_000
+
+
+def graph_of(edges: DataFrame) -> Graph:
+    """The patch graph (a, b); its neighbour lists, not its pairs, are held in memory."""
+    if edges.limit(MOST_EDGES + 1).count() > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} edges; use the join-based measures")
+    rows = edges.select("a", "b").toArrow()
+    return Graph(np.asarray(rows["a"]), np.asarray(rows["b"]))
 
 
 def keystones(edges: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """node, loss, keystone: relative loss of efficiency when a node is removed, a task for each node."""
-    names, adj = _matrix(edges)
-    spark, whole = edges.sparkSession, efficiency(adj)
+    """node, loss, keystone: relative loss of efficiency when a node is removed; nodes are dealt to tasks."""
+    graph, spark = graph_of(edges), edges.sparkSession
+    whole, n, sent = graph.efficiency(), len(graph.names), spark.sparkContext.broadcast(graph)
+    kind = edges.schema["a"].dataType.simpleString()
 
     def run(batches):
+        g = sent.value
         for pdf in batches:
             loss = []
             for i in pdf["i"]:
-                keep = np.arange(len(adj)) != i
-                loss.append((whole - efficiency(adj[np.ix_(keep, keep)])) / whole if whole else 0.0)
-            yield pd.DataFrame({"node": [names[i] for i in pdf["i"]], "loss": loss})
+                gone = np.arange(n) == i
+                loss.append((whole - g.efficiency(gone)) / whole if whole else 0.0)
+            yield pd.DataFrame({"node": g.names[pdf["i"].to_numpy()], "loss": loss})
 
-    out = spark.range(len(names)).withColumnRenamed("id", "i").mapInPandas(run, "node long, loss double")
+    parts = max(1, min(n, 4 * spark.sparkContext.defaultParallelism, 10_000))
+    out = spark.range(0, n, 1, parts).withColumnRenamed("id", "i").mapInPandas(run, f"node {kind}, loss double")
     return out.withColumn("keystone", F.col("loss") > threshold)
 
 
 def network_summary(edges: DataFrame) -> dict[str, float]:
     """Nodes, density, components, diameter, efficiency, mean path, clustering and small-worldness."""
-    names, adj = _matrix(edges)
-    n = len(names)
+    g = graph_of(edges)
+    n = len(g.names)
     if n < 2:
         return {"nodes": n}
-    d, off = _hops(adj), ~np.eye(n, dtype=bool)
-    finite = d[off & np.isfinite(d)]
-    deg = adj.sum(1)
-    tri = np.diag(adj @ adj @ adj) / 2
-    c = float(np.where(deg > 1, 2 * tri / np.maximum(deg * (deg - 1), 1), 0).mean())
-    density, path = float(adj.sum() / (n * (n - 1))), float(finite.mean()) if len(finite) else 0.0
-    comps = len({tuple(np.isfinite(r)) for r in d})
-    return {"nodes": n, "density": density, "components": comps, "diameter": float(finite.max()) if len(finite) else 0.0, "efficiency": efficiency(adj), "path_length": path, "clustering": c, "small_world": (c / density) / (path / math.log(n)) if density and path else 0.0}
+    paths = far = total = 0.0
+    comps = 0
+    for at in range(0, n, 64):
+        starts = np.arange(at, min(n, at + 64))
+        least = starts.copy()
+        for step, f in enumerate(g.levels(starts), 1):
+            k = float(f.sum())
+            paths, total, far = paths + k, total + k * step, max(far, float(step))
+            least = np.minimum(least, np.where(f.any(1), f.argmax(1), n))
+        comps += int((least == starts).sum())
+    c = clustering(edges).agg(F.avg("clustering")).first()[0] or 0.0
+    density, path = float(g.degree.sum() / (n * (n - 1))), total / paths if paths else 0.0
+    return {"nodes": n, "density": density, "components": comps, "diameter": far, "efficiency": g.efficiency(), "path_length": path, "clustering": c, "small_world": (c / density) / (path / math.log(n)) if density and path else 0.0}
 
 
 def robustness(edges: DataFrame, strategy: str = "degree", steps: int = 20, seed: int = 42) -> pd.DataFrame:
     """removed share, efficiency: nodes taken out by degree or at random; the area under it is the mean."""
-    names, adj = _matrix(edges)
-    n = len(names)
-    order = np.argsort(-adj.sum(1), kind="stable") if strategy == "degree" else np.random.default_rng(seed).permutation(n)
+    g = graph_of(edges)
+    n = len(g.names)
+    order = np.argsort(-g.degree, kind="stable") if strategy == "degree" else np.random.default_rng(seed).permutation(n)
     out = []
     for k in sorted({round(n * i / steps) for i in range(steps + 1)}):
-        keep = np.ones(n, bool)
-        keep[order[:k]] = False
-        out.append((k / n if n else 0.0, efficiency(adj[np.ix_(keep, keep)])))
+        gone = np.zeros(n, bool)
+        gone[order[:k]] = True
+        out.append((k / n if n else 0.0, g.efficiency(gone)))
     return pd.DataFrame(out, columns=["removed", "efficiency"])

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loamgrid.lineage import cut
+
 
 def _real(patches: DataFrame) -> DataFrame:
     return patches.where("cls <> 0")
@@ -88,16 +92,33 @@ def proximity(patches: DataFrame, radius: float = 1000.0, pixel: float = 1.0) ->
     return near_patches(patches, radius, pixel).groupBy(F.col("i").alias("patch")).agg(F.sum(F.col("area_j") / (F.col("d") * F.col("d"))).alias("prox"))
 
 
-def similarity(patches: DataFrame) -> DataFrame:
+def similarity(patches: DataFrame, block: int = 2048) -> DataFrame:
     """patch, simi: mean over the class's other patches of (area ratio + 1 / (1 + |shape difference|)) / 2.
 
-    Patches of a class that share area and shape are counted, not paired.
+    Patches of a class that share area and shape are counted, not paired; what differs meets block
+    by block, and a block gives one row for each of its kinds, not for each pair.
     """
-    kinds = _real(patches).groupBy("cls", "area", "shape").agg(F.count(F.lit(1)).alias("n"))
-    l, r = (kinds.select("cls", *(F.col(c).alias(f"{c}{s}") for c in ("area", "shape", "n"))) for s in "lr")
-    one = (F.least("areal", "arear") / F.greatest("areal", "arear") + 1 / (1 + F.abs(F.col("shapel") - F.col("shaper")))) / 2
-    same = (F.col("areal") == F.col("arear")) & (F.col("shapel") == F.col("shaper"))
-    s = l.join(r, "cls").groupBy("cls", F.col("areal").alias("area"), F.col("shapel").alias("shape")).agg(F.sum(one * (F.col("nr") - same.cast("int"))).alias("s"), (F.sum("nr") - 1).alias("m"))
+    kinds = cut(_real(patches).groupBy("cls", "area", "shape").agg(F.count(F.lit(1)).alias("n")))
+    sizes = kinds.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"), F.sum("n").alias("all"))
+    dealt = kinds.join(F.broadcast(sizes), "cls").withColumn("at", F.pmod(F.xxhash64("area", "shape"), F.col("k")).cast("int"))  # a row for each class
+    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    left = dealt.withColumnRenamed("at", "i").withColumn("j", every)
+    right = dealt.select(*((F.col(c) + 0).alias(c) for c in ("cls", "area", "shape", "n", "k")), (F.col("at") + 0).alias("j")).withColumn("i", every)
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"cls": [], "area": [], "shape": [], "s": []})
+        out = np.zeros(len(x))
+        a, s, n = (y[c].to_numpy(np.float64) for c in ("area", "shape", "n"))
+        for at in range(0, len(x), 256):
+            b, t = (x[c].to_numpy(np.float64)[at : at + 256, None] for c in ("area", "shape"))
+            one = (np.minimum(a, b) / np.maximum(a, b) + 1 / (1 + np.abs(s - t))) / 2
+            out[at : at + 256] = (one * (n - ((a == b) & (s == t)))).sum(1)
+        return x[["cls", "area", "shape"]].assign(s=out)
+
+    schema = ", ".join(f"{c} {kinds.schema[c].dataType.simpleString()}" for c in ("cls", "area", "shape")) + ", s double"
+    met = left.groupBy("cls", "i", "j").cogroup(right.groupBy("cls", "i", "j")).applyInPandas(run, schema)
+    s = met.groupBy("cls", "area", "shape").agg(F.sum("s").alias("s")).join(F.broadcast(sizes.select("cls", (F.col("all") - 1).alias("m"))), "cls")
     return _real(patches).join(s, ["cls", "area", "shape"]).select("patch", F.when(F.col("m") > 0, F.col("s") / F.col("m")).otherwise(0.0).alias("simi"))
 
 

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from loamgrid.functions.quantiles import percentiles, ranked
 
 
 def draw(key: str = "id", seed: int = 42) -> Column:
@@ -15,15 +16,17 @@ def draw(key: str = "id", seed: int = 42) -> Column:
     return F.pmod((F.pmod(F.col(key), F.lit(999983)) + seed) * 7919, F.lit(999983))
 
 
+def by_draw(rows: DataFrame, label: str, seed: int) -> DataFrame:
+    """Adds _r, the rank of the draw within each label, and _m, the label's rows."""
+    return ranked(rows, [label], F.floor(draw("id", seed) / 4096), draw("id", seed), "id", rank="_r", size="_m")
+
+
 def stratified_split(rows: DataFrame, train: float = 0.7, val: float = 0.15, test: float = 0.15, label: str = "label", seed: int = 42) -> DataFrame:
     """Adds part: train, val or test, by rank of the draw within each label."""
     if abs(train + val + test - 1) > 1e-6:
         raise ValueError("the shares must sum to 1")
-    w = Window.partitionBy(label)
-    r = F.row_number().over(w.orderBy(draw("id", seed), "id"))
-    n = F.count(F.lit(1)).over(w)
-    at = (r - 0.5) / n
-    return rows.withColumn("part", F.when(at < train, "train").when(at < train + val, "val").otherwise("test"))
+    at = (F.col("_r") - 0.5) / F.col("_m")
+    return by_draw(rows, label, seed).withColumn("part", F.when(at < train, "train").when(at < train + val, "val").otherwise("test")).drop("_r", "_m")
 
 
 def random_split(rows: DataFrame, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
@@ -33,10 +36,9 @@ def random_split(rows: DataFrame, train: float = 0.7, val: float = 0.15, seed: i
 
 def folds(rows: DataFrame, k: int = 5, label: str | None = "label", seed: int = 42) -> DataFrame:
     """Adds fold 0..k-1; with a label each class is dealt out evenly."""
-    w = Window.partitionBy(label) if label else None
-    if w is None:
+    if label is None:
         return rows.withColumn("fold", F.pmod(draw("id", seed), F.lit(k)).cast("long"))
-    return rows.withColumn("fold", ((F.row_number().over(w.orderBy(draw("id", seed), "id")) - 1) % k).cast("long"))
+    return by_draw(rows, label, seed).withColumn("fold", ((F.col("_r") - 1) % k).cast("long")).drop("_r", "_m")
 
 
 def spatial_block_folds(rows: DataFrame, block: int, k: int = 5, seed: int = 42) -> DataFrame:
@@ -46,16 +48,56 @@ def spatial_block_folds(rows: DataFrame, block: int, k: int = 5, seed: int = 42)
 
 
 def buffered_loo(points: DataFrame, test: DataFrame, buffer: float) -> DataFrame:
-    """test_id, id: for each test point the training points outside its buffer."""
-    t = F.broadcast(test.select(F.col("id").alias("test_id"), F.col("row").alias("tr"), F.col("col").alias("tc")))
+    """test_id, id: for each test point the training points outside its buffer.
+
+    The result itself has a row for every such pair; :func:`buffered_out` gives the few that are
+    left out instead.
+    """
+    t = test.select(F.col("id").alias("test_id"), F.col("row").alias("tr"), F.col("col").alias("tc"))
     d2 = (F.col("row") - F.col("tr")) * (F.col("row") - F.col("tr")) + (F.col("col") - F.col("tc")) * (F.col("col") - F.col("tc"))
     return points.join(t, (F.col("id") != F.col("test_id")) & (d2 > buffer * buffer)).select("test_id", "id")
 
 
+def buffered_out(points: DataFrame, test: DataFrame, buffer: float) -> DataFrame:
+    """test_id, id: the training points within each test point's buffer, met on cells of its size."""
+    cell = lambda y, x: (F.floor(y / buffer).alias("a"), F.floor(x / buffer).alias("b"))
+    three = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    around = F.explode(F.flatten(F.transform(three, lambda i: F.transform(three, lambda j: F.struct((F.col("a0") + i).alias("a"), (F.col("b0") + j).alias("b"))))))
+    t = test.select(F.col("id").alias("test_id"), F.col("row").alias("tr"), F.col("col").alias("tc"), F.floor(F.col("row") / buffer).alias("a0"), F.floor(F.col("col") / buffer).alias("b0"))
+    t = t.select("test_id", "tr", "tc", around.alias("k")).select("test_id", "tr", "tc", "k.a", "k.b")
+    d2 = (F.col("row") - F.col("tr")) * (F.col("row") - F.col("tr")) + (F.col("col") - F.col("tc")) * (F.col("col") - F.col("tc"))
+    met = points.select("id", "row", "col", *cell(F.col("row"), F.col("col"))).join(t, ["a", "b"])
+    return met.where((F.col("id") != F.col("test_id")) & (d2 <= buffer * buffer)).select("test_id", "id")
+
+
+def _by_time(rows: DataFrame, time: str) -> DataFrame:
+    """id, r (place from 0 by time, then id) and n, by counts of spans of time."""
+    kind = rows.schema[time].dataType.typeName()
+    span = F.to_date(time) if kind.startswith("timestamp") else F.shiftright(F.col(time), 12) if kind in ("long", "integer", "short") else F.floor(time) if kind in ("double", "float") else F.col(time)
+    return ranked(rows.select("id", time), [], span, time, "id", rank="r", size="n").select("id", (F.col("r") - 1).alias("r"), "n")
+
+
+def sliding_folds(rows: DataFrame, k: int = 5, gap: int = 0, time: str = "t") -> DataFrame:
+    """id, fold, part: fold i trains on the i-th of k + 1 equal spans and tests the next, ``gap`` rows later."""
+    f = _by_time(rows, time).withColumn("size", F.floor(F.col("n") / (k + 1))).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    start = F.col("fold") * F.col("size")
+    first = start + F.col("size") + gap
+    part = F.when((F.col("r") >= start) & (F.col("r") < start + F.col("size")), "train").when((F.col("r") >= first) & (F.col("r") < F.least(first + F.col("size"), F.col("n"))), "test")
+    return f.withColumn("part", part).where("part is not null").select("id", F.col("fold").cast("long").alias("fold"), "part")
+
+
+def distance_folds(rows: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """Adds fold: the group of each point (row, col) under k-means, so folds are far from each other."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    x = VectorAssembler(inputCols=["row", "col"], outputCol="_xy").transform(rows)
+    return KMeans(k=k, seed=seed, featuresCol="_xy", predictionCol="_fold").fit(x).transform(x).withColumn("fold", F.col("_fold").cast("long")).drop("_xy", "_fold")
+
+
 def time_folds(rows: DataFrame, k: int = 5, gap: int = 0, time: str = "t") -> DataFrame:
     """id, fold, part: fold i tests the i-th of k equal spans after the first, trains on all before it."""
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    r = rows.select("id", (F.row_number().over(Window.orderBy(time, "id")) - 1).alias("r")).join(F.broadcast(n))
+    r = _by_time(rows, time)
     size = F.floor(F.col("n") / (k + 1))
     f = r.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("start", F.col("n") - (k - F.col("fold")) * size)
     part = F.when((F.col("r") >= F.col("start")) & (F.col("r") < F.col("start") + size), "test").when(F.col("r") < F.col("start") - gap, "train")
@@ -65,17 +107,15 @@ def time_folds(rows: DataFrame, k: int = 5, gap: int = 0, time: str = "t") -> Da
 def undersample(rows: DataFrame, label: str = "label", seed: int = 42) -> DataFrame:
     """The first draws of every class, as many as the smallest class has."""
     least = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
-    r = rows.withColumn("r", F.row_number().over(Window.partitionBy(label).orderBy(draw("id", seed), "id")))
-    return r.join(F.broadcast(least)).where("r <= least").drop("r", "least")
+    return by_draw(rows, label, seed).join(F.broadcast(least)).where("_r <= least").drop("_r", "_m", "least")
 
 
 def oversample(rows: DataFrame, label: str = "label", seed: int = 42) -> DataFrame:
     """Rows of every class repeated, the first draws once more, up to the largest class; copy from 0."""
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    most = counts.agg(F.max("n").alias("most"))
-    r = rows.join(F.broadcast(counts), label).join(F.broadcast(most)).withColumn("r", F.row_number().over(Window.partitionBy(label).orderBy(draw("id", seed), "id")))
-    times = F.floor(F.col("most") / F.col("n")) + (F.col("r") <= F.col("most") % F.col("n")).cast("long")
-    return r.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), times - 1))).drop("n", "most", "r")
+    most = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"))
+    r = by_draw(rows, label, seed).join(F.broadcast(most))
+    times = F.floor(F.col("most") / F.col("_m")) + (F.col("_r") <= F.col("most") % F.col("_m")).cast("long")
+    return r.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), times - 1))).drop("_m", "most", "_r")
 
 
 def bootstrap_counts(rows: DataFrame, rounds: int, seed: int = 42) -> DataFrame:
@@ -98,8 +138,9 @@ def normalise(rows: DataFrame, col: str = "x", method: str = "minmax", clip: tup
     elif method == "zscore":
         p = rows.agg(F.avg(col).alias("a"), F.stddev_pop(col).alias("b"))
     elif method == "robust":
-        mid = rows.agg(F.percentile(col, F.lit(0.5)).alias("a"))
-        p = rows.join(F.broadcast(mid)).groupBy("a").agg(F.percentile(F.abs(F.col(col) - F.col("a")), F.lit(0.5)).alias("b"))
+        mid = percentiles(rows, [], col, [0.5]).select(F.get("q", F.lit(0)).alias("a"))
+        away = rows.join(F.broadcast(mid)).select(F.abs(F.col(col) - F.col("a")).alias("d"))
+        p = mid.join(percentiles(away, [], "d", [0.5]).select(F.get("q", F.lit(0)).alias("b")))
     else:
         raise ValueError(f"unknown method {method}")
     y = (F.col(col) - F.col("a")) / F.when(F.col("b") == 0, 1.0).otherwise(F.col("b"))
@@ -155,3 +196,47 @@ def add_noise(rows: DataFrame, level: float, seed: int = 42) -> DataFrame:
     s = rows.withColumn("_s", std(F.col("spec")) * level)
     normal = lambda i: F.sqrt(-2 * F.log(u(i, 0))) * F.cos(6.283185307179586 * u(i, 1))
     return s.withColumn("spec", F.transform("spec", lambda x, i: x + F.col("_s") * normal(i))).drop("_s")
+
+
+def cutmix(a: DataFrame, b: DataFrame, height: int, width: int, alpha: float = 1.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Paired patches (id, row, col, spec) of a with a box of b pasted in, and (id, lam), the share of a.
+
+    The box of an id has the area 1 - lam of a draw and a drawn centre, cut off at the edges, and lam
+    is then set to what is left.  lam is uniform (``alpha`` 1) or a power of it.
+    """
+    u = lambda k: (F.pmod(F.xxhash64(F.col("id"), F.lit(seed + k)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    cut_at = F.sqrt(1 - F.pow(u(0), F.lit(1.0 / alpha)))
+    box = a.select("id").distinct().withColumn("h", F.floor(cut_at * height)).withColumn("w", F.floor(cut_at * width)).withColumn("cy", F.floor(u(1) * height)).withColumn("cx", F.floor(u(2) * width))
+    clip = lambda c, n: F.greatest(F.lit(0), F.least(c, F.lit(n)))
+    box = box.select("id", clip(F.col("cy") - F.expr("h div 2"), height).alias("top"), clip(F.col("cy") + F.expr("h div 2"), height).alias("bottom"), clip(F.col("cx") - F.expr("w div 2"), width).alias("left"), clip(F.col("cx") + F.expr("w div 2"), width).alias("right"))
+    inside = (F.col("row") >= F.col("top")) & (F.col("row") < F.col("bottom")) & (F.col("col") >= F.col("left")) & (F.col("col") < F.col("right"))
+    j = a.join(b.select("id", "row", "col", F.col("spec").alias("other")), ["id", "row", "col"]).join(box, "id")
+    lam = box.select("id", (1 - (F.col("bottom") - F.col("top")) * (F.col("right") - F.col("left")) / float(height * width)).alias("lam"))
+    return j.select("id", "row", "col", F.when(inside, F.col("other")).otherwise(F.col("spec")).alias("spec")), lam
+
+
+def augment(rows: DataFrame, steps: list[dict], seed: int = 42) -> DataFrame:
+    """Rows (id, spec) and, for each step, a copy of all with step from 1: a step is a dict with
+    ``noise`` or the parameters of :func:`augment_spectrum`."""
+    out = rows.withColumn("step", F.lit(0))
+    for i, step in enumerate(steps, 1):
+        noise = step.get("noise", 0.0)
+        copy = rows.withColumn("spec", augment_spectrum(F.col("spec"), **{k: v for k, v in step.items() if k != "noise"}))
+        copy = add_noise(copy, noise, seed + i) if noise else copy
+        out = out.unionByName(copy.withColumn("step", F.lit(i)))
+    return out
+
+
+def augmentation_statistics(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: sizes of two tables of spectra, their ratio, and the changes of mean and deviation."""
+    s = lambda t, k: t.select(F.explode("spec").alias("x")).agg(F.avg("x").alias(f"mean_{k}"), F.stddev_pop("x").alias(f"std_{k}")).join(F.broadcast(t.agg(F.count(F.lit(1)).alias(f"n_{k}"))))
+    j = s(before, "before").join(F.broadcast(s(after, "after")))
+    return j.select("n_before", "n_after", (F.col("n_after") / F.col("n_before")).alias("ratio"), (F.col("mean_after") - F.col("mean_before")).alias("mean_change"), (F.col("std_after") - F.col("std_before")).alias("std_change"))
+
+
+def memory_megabytes(shape: tuple[int, ...], item_bytes: int, copies: int = 1) -> float:
+    """What arrays of a shape take."""
+    n = copies * item_bytes
+    for k in shape:
+        n *= k
+    return n / (1 << 20)

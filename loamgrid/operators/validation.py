@@ -8,6 +8,7 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.functions.quantiles import percentiles
 from loamgrid.operators import accuracy, sampling
 
 
@@ -35,6 +36,7 @@ def summarise(folds: DataFrame, metric: str = "accuracy") -> DataFrame:
 STRATEGIES = {
     "kfold": lambda rows, k: sampling.folds(rows, k, label=None),
     "stratified_kfold": lambda rows, k: sampling.folds(rows, k),
+    "distance": lambda rows, k: sampling.distance_folds(rows, k),
     "spatial_block": lambda rows, k: sampling.spatial_block_folds(rows, max(2, k), k),
 }
 
@@ -59,7 +61,29 @@ def separation(train: DataFrame, test: DataFrame, cell: float = 4.0) -> DataFram
     from loamgrid.operators.uncertainty import nearest_of
 
     d = nearest_of(test, train, cell)
-    return d.agg(F.min("d").alias("min"), F.avg("d").alias("mean"), F.max("d").alias("max"), F.percentile("d", F.lit(0.5)).alias("median"))
+    mid = percentiles(d, [], "d", [0.5]).select(F.get("q", F.lit(0)).alias("median"))
+    return d.agg(F.min("d").alias("min"), F.avg("d").alias("mean"), F.max("d").alias("max")).join(F.broadcast(mid))
+
+
+def time_split_scores(rows: DataFrame, parts: DataFrame, make: Callable[[], Estimator]) -> DataFrame:
+    """fold, accuracy, kappa, f1_macro of rows (id, label, x) under a table of (id, fold, part)."""
+    out = None
+    for (fold,) in sorted(parts.select("fold").distinct().collect()):  # as many as there are folds
+        side = lambda part, fold=fold: rows.join(parts.where((F.col("fold") == fold) & (F.col("part") == part)).select("id"), "id", "left_semi")
+        pred = make().fit(side("train")).transform(side("test"))
+        m = accuracy.overall(accuracy.confusion(pred.select(F.col("label").alias("y_true"), F.col("prediction").cast("long").alias("y_pred"))))
+        m = m.select(F.lit(fold).alias("fold"), "accuracy", "kappa", "f1_macro")
+        out = m if out is None else out.unionByName(m)
+    if out is None:
+        raise ValueError("no folds")
+    return out
+
+
+def advise(compared: DataFrame) -> DataFrame:
+    """One row: the most optimistic and most careful strategies, their gap, and what follows from it."""
+    s = compared.agg(F.max_by("strategy", "mean").alias("most_optimistic"), F.min_by("strategy", "mean").alias("most_careful"), (F.max("mean") - F.min("mean")).alias("gap"), F.min_by("strategy", "std").alias("most_stable"))
+    word = F.when(F.col("gap") > 0.1, "places are alike: report the careful strategy").when(F.col("gap") > 0.05, "report several strategies").otherwise("strategies agree")
+    return s.withColumn("advice", word)
 
 
 def bootstrap(rows: DataFrame, make: Callable[[], Estimator], rounds: int = 10, seed: int = 42) -> DataFrame:
