@@ -110,11 +110,99 @@ def chi_square(table: DataFrame) -> DataFrame:
     return cells.agg(stat.alias("chi_square"), ((F.countDistinct("y_true") - 1) * (F.countDistinct("y_pred") - 1)).alias("dof"))
 
 
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function, by Lentz's method."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / max(abs(1.0 - (a + b) * x / (a + 1)), tiny) * math.copysign(1, 1.0 - (a + b) * x / (a + 1))
+    out = d
+    for m in range(1, 100_000):
+        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 + k * d
+            c = 1.0 + k / c
+            d, c = 1.0 / (d if abs(d) > tiny else tiny), (c if abs(c) > tiny else tiny)
+            out *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    return out
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1.0 - front * _beta_fraction(b, a, 1 - x) / b
+
+
 def binomial_test(correct: int, n: int) -> float:
-    """One-sided p-value of at least ``correct`` hits of n at one half."""
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2) for k in range(correct, n + 1)]
-    top = max(logs, default=0.0)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+    """One-sided p-value of at least ``correct`` hits of n at one half, at any n."""
+    return 1.0 if correct <= 0 else min(1.0, max(0.0, incomplete_beta(correct, n - correct + 1, 0.5)))
+
+
+def hit_test(pred: DataFrame) -> DataFrame:
+    """One row: n, hits and the one-sided p-value that hits are above one half."""
+    return _tested(pred.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("y_true") == F.col("y_pred")).cast("long")).alias("hits")))
+
+
+def class_hit_tests(pred: DataFrame) -> DataFrame:
+    """The same for each class against the rest: cls, n, hits, p."""
+    table = confusion(pred)
+    total = table.agg(F.sum("n").cast("long").alias("n"))
+    c = class_table(table).join(F.broadcast(total)).select("cls", F.col("n"), (F.col("tp") + F.col("tn")).cast("long").alias("hits"))
+    return _tested(c)
+
+
+def _tested(rows: DataFrame) -> DataFrame:
+    """Adds p to a few rows of n and hits (one for each class)."""
+    got = rows.collect()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", p double"
+    return rows.sparkSession.createDataFrame([(*r, binomial_test(r["hits"] or 0, r["n"])) for r in got], schema)
+
+
+def mcnemar(pairs: DataFrame) -> DataFrame:
+    """model_a, model_b, only_a, only_b, statistic, p of models' predictions (id, model, y_true, y_pred).
+
+    Rows that just one of two models gets right are counted; the statistic is corrected for
+    continuity and has one degree of freedom.  Models are few, so their pairs are.
+    """
+    right = pairs.select("id", "model", (F.col("y_true") == F.col("y_pred")).alias("ok"))
+    a, b = (right.select("id", F.col("model").alias(f"model_{s}"), F.col("ok").alias(f"ok_{s}")) for s in "ab")
+    met = a.join(b, "id").where("model_a < model_b")
+    one = lambda x, y: F.sum((F.col(x) & ~F.col(y)).cast("long"))
+    c = met.groupBy("model_a", "model_b").agg(one("ok_a", "ok_b").alias("only_a"), one("ok_b", "ok_a").alias("only_b"))
+    away = F.greatest(F.abs(F.col("only_a") - F.col("only_b")) - 1, F.lit(0))
+    c = c.withColumn("statistic", F.when(F.col("only_a") + F.col("only_b") > 0, away * away / (F.col("only_a") + F.col("only_b"))).otherwise(0.0).cast("double"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.schema) + ", p double"
+    return pairs.sparkSession.createDataFrame([(*r, math.erfc(math.sqrt(r["statistic"] / 2))) for r in c.collect()], schema)
+
+
+def compare_models(pairs: DataFrame, metric: str = "accuracy") -> DataFrame:
+    """model, n, accuracy, kappa, f1_macro, f1_weighted of (model, y_true, y_pred), the best first."""
+    if metric not in ("accuracy", "kappa", "f1_macro", "f1_weighted"):
+        raise ValueError(f"unknown metric {metric}")
+    t = pairs.groupBy("model", "y_true", "y_pred").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    side = lambda c, r, p: t.select("model", F.col(c).alias("cls"), F.lit(0.0 if p else 1.0).alias("_"), (F.col("n") if r else F.lit(0.0)).alias("r"), (F.col("n") if p else F.lit(0.0)).alias("c"), (F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0.0) if r else F.lit(0.0)).alias("tp")).drop("_")
+    s = side("y_true", True, False).unionByName(side("y_pred", False, True)).groupBy("model", "cls").agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.sum("tp").alias("tp"))
+    f1 = _ratio(2 * F.col("tp"), F.col("r") + F.col("c"))
+    m = s.withColumn("f1", f1).groupBy("model").agg(F.sum("r").alias("n"), F.sum("tp").alias("hit"), F.sum(F.col("r") * F.col("c")).alias("rc"), F.avg("f1").alias("f1_macro"), (F.sum(F.col("f1") * F.col("r")) / F.sum("r")).alias("f1_weighted"))
+    acc, pe = F.col("hit") / F.col("n"), F.col("rc") / (F.col("n") * F.col("n"))
+    return m.select("model", "n", acc.alias("accuracy"), _ratio(acc - pe, 1 - pe).alias("kappa"), "f1_macro", "f1_weighted").orderBy(F.desc(metric), "model")
+
+
+def confusion_shares(table: DataFrame) -> DataFrame:
+    """y_true, y_pred, n, of_row, of_column, intensity: a confusion against what chance would give."""
+    rows, cols = table.groupBy("y_true").agg(F.sum("n").alias("r")), table.groupBy("y_pred").agg(F.sum("n").alias("c"))
+    t = table.join(F.broadcast(rows), "y_true").join(F.broadcast(cols), "y_pred").withColumn("total", F.sum("n").over(_all()))  # K x K rows
+    return t.select("y_true", "y_pred", "n", (F.col("n") / F.col("r")).alias("of_row"), (F.col("n") / F.col("c")).alias("of_column"), (F.col("n") * F.col("total") / (F.col("r") * F.col("c"))).alias("intensity"))
+
+
+def matrix_properties(table: DataFrame) -> DataFrame:
+    """One row: classes, total, trace, share on the diagonal, filled cells off it, and asymmetry."""
+    back = table.select(F.col("y_true").alias("y_pred"), F.col("y_pred").alias("y_true"), F.col("n").alias("m"))
+    off = table.where("y_true <> y_pred").join(back, ["y_true", "y_pred"], "full").where("y_true <> y_pred").agg((F.sum(F.abs(F.coalesce("n", F.lit(0.0)) - F.coalesce("m", F.lit(0.0)))) / 2).alias("asymmetry"))
+    kinds = table.select(F.col("y_true").alias("c")).union(table.select("y_pred")).agg(F.countDistinct("c").alias("classes"))
+    s = table.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0.0)).alias("trace"), F.sum(((F.col("y_true") != F.col("y_pred")) & (F.col("n") > 0)).cast("long")).alias("off_diagonal"))
+    return s.join(F.broadcast(off)).join(F.broadcast(kinds)).select("classes", "total", "trace", (F.col("trace") / F.col("total")).alias("diagonal_share"), "off_diagonal", F.coalesce("asymmetry", F.lit(0.0)).alias("asymmetry"))
 
 
 def class_weights(labels: DataFrame, label: str = "label") -> DataFrame:

@@ -8,13 +8,18 @@ exact: test and training rows meet in blocks, each block gives its k best, and t
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +32,29 @@ def vectors(rows: DataFrame, features: str = "features") -> DataFrame:
     return rows.withColumn("x", array_to_vector(F.col(features)))
 
 
+def _nearest_rows(x: np.ndarray, y: np.ndarray, k: int, spare: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Places in y of each x's k nearest rows, and their squared distances; ties to the first.
+
+    A product of matrices gives distances up to rounding; the nearest by it, and some more, are
+    measured exactly.  A row that could have a nearer one beyond these is measured in full.
+    """
+    k = min(k, len(y))
+    xx, yy = (x * x).sum(1)[:, None], (y * y).sum(1)[None, :]
+    rough = xx + yy - 2 * (x @ y.T)
+    near = np.argpartition(rough, min(k + spare, len(y)) - 1, axis=1)[:, : k + spare]
+    near.sort(axis=1)
+    exact = ((x[:, None, :] - y[near]) ** 2).sum(2)
+    first = np.argsort(exact, axis=1, kind="stable")[:, :k]
+    at, d2 = np.take_along_axis(near, first, 1), np.take_along_axis(exact, first, 1)
+    if near.shape[1] < len(y):
+        np.put_along_axis(rough, near, np.inf, 1)
+        for i in np.flatnonzero(rough.min(1) <= d2[:, -1] + 1e-9 * (xx[:, 0] + yy.max())):
+            full = ((x[i] - y) ** 2).sum(1)
+            at[i] = np.argsort(full, kind="stable")[:k]
+            d2[i] = full[at[i]]
+    return at, d2
+
+
 def nearest(test: DataFrame, train: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """id, other, label, d2, r: the k nearest training rows of each test row, ties to smaller ids."""
     n_train, n_test = (-(-max(1, t.count()) // block) for t in (train, test))
@@ -42,10 +70,8 @@ def nearest(test: DataFrame, train: DataFrame, k: int, block: int = 4096) -> Dat
         x, y = np.stack(a["features"].to_numpy()), np.stack(b["f"].to_numpy())
         out = []
         for i in range(0, len(x), 256):
-            d2 = ((x[i : i + 256, None, :] - y[None]) ** 2).sum(2) if x.shape[1] * len(y) * 256 < 3e7 else np.stack([((v - y) ** 2).sum(1) for v in x[i : i + 256]])
-            at = np.argsort(d2, axis=1, kind="stable")[:, :k]
-            rows = np.arange(len(at))[:, None]
-            out.append(pd.DataFrame({"id": np.repeat(a["id"].to_numpy()[i : i + 256], at.shape[1]), "other": b["oid"].to_numpy()[at].ravel(), "label": b["label"].to_numpy()[at].ravel(), "d2": d2[rows, at].ravel()}))
+            at, d2 = _nearest_rows(x[i : i + 256], y, k)
+            out.append(pd.DataFrame({"id": np.repeat(a["id"].to_numpy()[i : i + 256], at.shape[1]), "other": b["oid"].to_numpy()[at].ravel(), "label": b["label"].to_numpy()[at].ravel(), "d2": d2.ravel()}))
         return pd.concat(out)
 
     met = left.groupBy("tb", "rb").cogroup(right.groupBy("tb", "rb")).applyInPandas(best, "id long, other long, label long, d2 double")
@@ -83,12 +109,32 @@ def fourier_features(dim: int, count: int = 256, gamma: float | None = None, see
     return lambda x: F.transform(rows, lambda r: F.cos(total(F.zip_with(x, r["w"], lambda p, q: p * q)) + r["b"]) * (2.0 / count) ** 0.5)
 
 
+class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Random Fourier features of an RBF kernel as a pipeline stage: column z to column rbf."""
+
+    dim = Param(Params._dummy(), "dim", "features in", TypeConverters.toInt)
+    count = Param(Params._dummy(), "count", "features out", TypeConverters.toInt)
+    gamma = Param(Params._dummy(), "gamma", "of the kernel; 0: one over dim", TypeConverters.toFloat)
+
+    def __init__(self, dim: int = 1, count: int = 256, gamma: float | None = None) -> None:
+        super().__init__()
+        self._setDefault(inputCol="z", outputCol="rbf", count=256, gamma=0.0)
+        self._set(dim=dim, count=count, gamma=float(gamma or 0.0))
+
+    def _transform(self, rows: DataFrame) -> DataFrame:
+        f = fourier_features(self.getOrDefault(self.dim), self.getOrDefault(self.count), self.getOrDefault(self.gamma) or None)
+        return rows.withColumn(self.getOutputCol(), array_to_vector(f(vector_to_array(self.getInputCol()))))
+
+
 def estimator(kind: str, **kw) -> Estimator:
-    """An untrained pipeline by name: svm, rf, xgb, nb, logreg, mlp.  Columns: x, label."""
+    """An untrained pipeline by name: svm, rbf_svm (needs dim), rf, xgb, nb, logreg, mlp.  Columns: x, label."""
     scale = StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True)
     if kind == "svm":
         chosen = UnivariateFeatureSelector(featuresCol="z", outputCol="k", labelCol="label", selectionMode="numTopFeatures").setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(kw.pop("top", 50))
         return Pipeline(stages=[scale, chosen, OneVsRest(classifier=LinearSVC(**{"maxIter": 50, **kw}), featuresCol="k", labelCol="label")])
+    if kind == "rbf_svm":
+        dim, gamma, count = kw.pop("dim"), kw.pop("gamma", None), kw.pop("count", 256)
+        return Pipeline(stages=[scale, FourierFeatures(dim, count, gamma), OneVsRest(classifier=LinearSVC(**{"maxIter": 50, **kw}), featuresCol="rbf", labelCol="label")])
     if kind == "rf":
         return Pipeline(stages=[RandomForestClassifier(featuresCol="x", labelCol="label", seed=42, **kw)])
     if kind == "xgb":
@@ -102,7 +148,7 @@ def estimator(kind: str, **kw) -> Estimator:
     raise ValueError(f"unknown classifier {kind}; known: {', '.join(KINDS)}")
 
 
-KINDS = ("svm", "rf", "xgb", "nb", "logreg", "mlp")
+KINDS = ("svm", "rbf_svm", "rf", "xgb", "nb", "logreg", "mlp")
 DEEP = ("cnn3d", "hybrid", "transformer", "resnet")
 ENSEMBLES = ("voting", "stacking", "dynamic")
 
@@ -204,3 +250,92 @@ def load(path: str):
     from pyspark.ml import PipelineModel
 
     return PipelineModel.load(path)
+
+
+#: Settings that a search tries, by classifier.
+GRIDS: dict[str, dict[str, list]] = {
+    "svm": {"regParam": [0.001, 0.01, 0.1], "top": [20, 50]},
+    "rbf_svm": {"regParam": [0.001, 0.01, 0.1], "gamma": [0.01, 0.1]},
+    "rf": {"numTrees": [50, 100], "maxDepth": [5, 10], "featureSubsetStrategy": ["sqrt", "log2"]},
+    "xgb": {"maxDepth": [3, 5], "stepSize": [0.05, 0.1, 0.2]},
+    "nb": {"smoothing": [1e-9, 1e-6, 1e-3]},
+    "logreg": {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]},
+    "knn": {"k": [3, 5, 7, 9], "weights": ["uniform", "distance"]},
+}
+
+
+def settings_of(grid: dict[str, list], most: int | None = None, seed: int = 42) -> list[dict]:
+    """All settings of a grid in order, or ``most`` of them drawn without repeats."""
+    every = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+    if most is None or most >= len(every):
+        return every
+    return [every[i] for i in sorted(np.random.default_rng(seed).choice(len(every), most, replace=False))]
+
+
+def search(rows: DataFrame, kind: str, grid: dict[str, list] | None = None, k: int = 3, most: int | None = None, seed: int = 42, **fixed) -> tuple[dict, DataFrame]:
+    """The best settings by accuracy over k stratified folds (ties: the first tried), and the table
+    (n, settings, accuracy, std) of all tried.  rows: id, label, x, and features for knn."""
+    from loamgrid.lineage import cut
+    from loamgrid.operators.sampling import folds
+
+    f = cut(folds(rows, k, seed=seed))
+    tried = settings_of(grid or GRIDS[kind], most, seed)
+    scored = []
+    for n, s in enumerate(tried):
+        hits = []
+        for j in range(k):
+            train, test = f.where(f"fold <> {j}"), f.where(f"fold = {j}")
+            if kind == "knn":
+                pred = knn_predict(test, train, **s).join(test.select("id", "label"), "id")
+            else:
+                pred = estimator(kind, **s, **fixed).fit(train).transform(test)
+            hits.append(pred.agg(F.avg((F.col("prediction").cast("long") == F.col("label").cast("long")).cast("double"))).first()[0] or 0.0)
+        scored.append((n, str(s), float(np.mean(hits)), float(np.std(hits))))
+    best = min(scored, key=lambda x: (-x[2], x[0]))[0]
+    return tried[best], rows.sparkSession.createDataFrame(scored, "n long, settings string, accuracy double, std double")
+
+
+def search_weights(ensemble: DataFrame, labels: DataFrame, models: int, draws: int = 50, seed: int = 42) -> tuple[dict[int, float], float]:
+    """Weights of models (id, model, p) that give the best soft vote against (id, label), and its
+    accuracy: equal weights, each model alone, and drawn ones are tried in one pass."""
+    rng = np.random.default_rng(seed)
+    tried = np.concatenate([np.full((1, models), 1 / models), np.eye(models), rng.dirichlet(np.ones(models), draws)])
+    # One row for each id with all models' probabilities, models in order.
+    g = ensemble.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("model", "p"))), lambda x: x["p"]).alias("rows")).where(F.size("rows") == models).join(labels.select("id", "label"), "id")
+    w = F.array(*(F.array(*map(F.lit, map(float, r))) for r in tried))
+    zero = F.transform(F.col("rows")[0], lambda _: F.lit(0.0))
+    vote = lambda r: argmax(F.transform(F.aggregate(F.zip_with("rows", r, lambda p, x: F.transform(p, lambda q: q * x)), zero, lambda a, p: F.zip_with(a, p, lambda s, t: s + t)), lambda v: F.round(v, 12)))
+    hits = g.select(F.posexplode(F.transform(w, lambda r: (vote(r) == F.col("label")).cast("double"))).alias("n", "ok")).groupBy("n").agg(F.avg("ok").alias("a"))
+    best = hits.orderBy(F.desc("a"), "n").first()
+    if best is None:
+        raise ValueError("no rows with all models")
+    return {i: float(x) for i, x in enumerate(tried[best["n"]])}, best["a"]
+
+
+class ModelSet:
+    """Several classifiers trained on the same rows (id, label, x) and compared on others."""
+
+    def __init__(self) -> None:
+        self.makers: dict[str, Callable[[], Estimator]] = {}
+        self.models: dict = {}
+
+    def add(self, name: str, make: Callable[[], Estimator]) -> None:
+        self.makers[name] = make
+
+    def train(self, rows: DataFrame) -> None:
+        self.models = {name: make().fit(rows) for name, make in self.makers.items()}
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """id, model, y_true, y_pred of every model."""
+        if not self.models:
+            raise ValueError("no model is trained")
+        parts = [m.transform(rows).select("id", F.lit(name).alias("model"), F.col("label").cast("long").alias("y_true"), F.col("prediction").cast("long").alias("y_pred")) for name, m in self.models.items()]
+        return reduce(DataFrame.unionByName, parts)
+
+    def evaluate(self, rows: DataFrame, metric: str = "accuracy") -> DataFrame:
+        from loamgrid.operators.accuracy import compare_models
+
+        return compare_models(self.predict(rows), metric)
+
+    def best(self, rows: DataFrame, metric: str = "accuracy") -> str:
+        return self.evaluate(rows, metric).first()["model"]

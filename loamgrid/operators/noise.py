@@ -49,6 +49,13 @@ def fourier_destripe(x: DataFrame) -> DataFrame:
     return x.groupBy("band").applyInPandas(run, "row long, col long, band long, x double")
 
 
+def remove_stripes(x: DataFrame, method: str = "statistical") -> DataFrame:
+    """(row, col, band, x) without stripes; "wavelet" is the statistical method by another name."""
+    if method not in ("statistical", "wavelet", "fourier"):
+        raise ValueError(f"unknown method {method}")
+    return fourier_destripe(x) if method == "fourier" else destripe(x)
+
+
 def smooth_spectra(cube: DataFrame, method: str = "savgol", window: int = 5, order: int = 2, sigma: float = 1.0) -> DataFrame:
     a = F.col("spec")
     out: dict[str, Column] = {"savgol": A.savgol(a, window, order), "gaussian": A.convolve_reflect(a, A.gaussian_kernel(sigma)), "median": A.median_smooth(a, window), "moving_average": A.moving_average(a, window)}
