@@ -3,8 +3,9 @@
 ENVI cubes (a header and a raw file) are decoded here with numpy through a Python data source: each
 partition is a run of lines, read by a seek, and bands and a window are pushed down as options, so
 pruned bands are never decoded.  Reading goes through Spark's own file access where a path isn't
-local.  GeoTIFF, HDF5, NetCDF and MATLAB need libraries that may be absent; they are asked for by
-name and refused clearly.
+local.  GeoTIFF, NetCDF classic, MATLAB level 5 and npz files go through Spark's binary reader to the
+decoders of :mod:`loamgrid.sources.formats`.  HDF5 (and so NetCDF-4 and MATLAB 7.3) and GeoPackage
+need libraries that may be absent; they are refused by name.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loamgrid.scene import SAMPLES
+from loamgrid.sources.formats import DECODERS, load_scene, read_kml, read_shapefile, shapes_table
 
 #: Numpy types by the header's data type code.
 ENVI_TYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 12: "u2", 13: "u4", 14: "i8", 15: "u8"}
-#: Array names tried first in container formats.
-DATASET_KEYS = ["data", "hyperspectral", "reflectance", "radiance", "image"]
 
 
 def parse_header(text: str) -> dict:
@@ -149,19 +149,7 @@ def load_envi(spark: SparkSession, path: str, bands: list[int] | None = None, wi
     return read.load(path), meta
 
 
-def load_npz(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """A small (H, W, B) array file: the first known name, else the first 3-D array."""
-    with np.load(path, allow_pickle=False) as z:
-        name = next((k for k in DATASET_KEYS if k in z and z[k].ndim == 3), None) or next((k for k in z if z[k].ndim == 3), None)
-        if name is None:
-            raise ValueError(f"{path} holds no 3-D array")
-        a = z[name].astype(float)
-        meta = {"bands": a.shape[2], "wavelengths": z["wavelengths"].tolist() if "wavelengths" in z else []}
-    rows = [(r, c, a[r, c].tolist()) for r in range(a.shape[0]) for c in range(a.shape[1])]
-    return spark.createDataFrame(rows, "row long, col long, spec array<double>"), meta
-
-
-CUBES = {".hdr": load_envi, ".npz": load_npz, ".tif": _needs("rasterio", "GeoTIFF"), ".tiff": _needs("rasterio", "GeoTIFF"), ".h5": _needs("h5py", "HDF5"), ".hdf5": _needs("h5py", "HDF5"), ".nc": _needs("netCDF4", "NetCDF"), ".mat": _needs("scipy", "MATLAB files")}
+CUBES = {".hdr": load_envi, **dict.fromkeys(DECODERS, load_scene), ".h5": _needs("h5py", "HDF5"), ".hdf5": _needs("h5py", "HDF5")}
 
 
 def load_cube(spark: SparkSession, path: str, **kw) -> tuple[DataFrame, dict]:
@@ -169,7 +157,7 @@ def load_cube(spark: SparkSession, path: str, **kw) -> tuple[DataFrame, dict]:
     suffix = os.path.splitext(path)[1].lower()
     if suffix not in CUBES:
         raise ValueError(f"unsupported format {suffix}")
-    if not os.path.exists(path):
+    if "://" not in path and not os.path.exists(path):
         raise FileNotFoundError(path)
     return CUBES[suffix](spark, path, **kw)
 
@@ -193,15 +181,57 @@ def load_csv_samples(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*(F.col(c).cast(kinds.get(c, "string")).alias(c) for c in raw.columns))
 
 
-def load_geojson(spark: SparkSession, path: str) -> DataFrame:
+def _features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """kind, coordinates (JSON) and properties of each feature; with ``lines`` each line is a collection."""
+    schema = "features array<struct<geometry: struct<type: string, coordinates: string>, properties: map<string, string>>>"
+    f = spark.read.schema(schema).option("multiLine", not lines).json(path).select(F.explode("features").alias("f"))
+    return f.select(F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
+
+
+def _named(properties: str = "properties") -> tuple:
+    p = lambda k: F.try_element_at(properties, F.lit(k))
+    return F.expr(f"try_cast(coalesce(try_element_at({properties}, 'class_id'), try_element_at({properties}, 'class'), try_element_at({properties}, 'label')) as int)").alias("class_id"), p("class_name").alias("class_name")
+
+
+def load_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Point features: x, y, class_id (class_id, class or label), class_name."""
-    schema = "features array<struct<geometry: struct<type: string, coordinates: array<double>>, properties: map<string, string>>>"
-    f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f")).where("f.geometry.type = 'Point'")
-    p = lambda k: F.try_element_at("f.properties", F.lit(k))
-    return f.select(F.col("f.geometry.coordinates")[0].alias("x"), F.col("f.geometry.coordinates")[1].alias("y"), F.coalesce(p("class_id"), p("class"), p("label")).cast("int").alias("class_id"), p("class_name").alias("class_name"))
+    f = _features(spark, path, lines).where("kind = 'Point'").withColumn("at", F.from_json("coordinates", "array<double>"))
+    return f.select(F.col("at")[0].alias("x"), F.col("at")[1].alias("y"), *_named())
+
+
+def load_geojson_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """id, rings, class_id, class_name of points, polygons and multipolygons."""
+    pair, ring = "array<double>", "array<array<double>>"
+    one = F.when(F.col("kind") == "Point", F.array(F.array(F.from_json("coordinates", pair)))).when(F.col("kind") == "Polygon", F.from_json("coordinates", f"array<{ring}>")).when(F.col("kind") == "MultiPolygon", F.flatten(F.from_json("coordinates", f"array<array<{ring}>>")))
+    return _features(spark, path).withColumn("rings", one).where("rings is not null").select(F.monotonically_increasing_id().alias("id"), "rings", *_named())
+
+
+def _content(spark: SparkSession, path: str) -> bytes:
+    row = spark.read.format("binaryFile").load(path).select("content").first()
+    if row is None:
+        raise FileNotFoundError(path)
+    return bytes(row["content"])
+
+
+def load_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """id, rings, class_id, class_name of a shapefile (with its .dbf), KML or GeoJSON file."""
+    suffix = os.path.splitext(path)[1].lower()
+    if suffix == ".shp":
+        return shapes_table(spark, read_shapefile(_content(spark, path), _content(spark, path[:-4] + ".dbf")))
+    if suffix == ".kml":
+        return shapes_table(spark, read_kml(_content(spark, path).decode("utf-8")))
+    if suffix in (".geojson", ".json"):
+        return load_geojson_shapes(spark, path)
+    raise ValueError(f"unsupported format {suffix}")
+
+
+def load_shape_points(spark: SparkSession, path: str) -> DataFrame:
+    """The points of a file of shapes: x, y, class_id, class_name."""
+    one = load_shapes(spark, path).where("size(rings) = 1 and size(rings[0]) = 1")
+    return one.select(F.col("rings")[0][0][0].alias("x"), F.col("rings")[0][0][1].alias("y"), "class_id", "class_name")
 
 
-SAMPLE_READERS = {".csv": load_csv_samples, ".txt": load_csv_samples, ".geojson": load_geojson, ".json": load_geojson, ".shp": _needs("geopandas", "shapefiles"), ".kml": _needs("geopandas", "KML"), ".gpkg": _needs("geopandas", "GeoPackage")}
+SAMPLE_READERS = {".csv": load_csv_samples, ".txt": load_csv_samples, ".geojson": load_geojson, ".json": load_geojson, ".shp": load_shape_points, ".kml": load_shape_points, ".gpkg": _needs("geopandas", "GeoPackage")}
 
 
 def load_samples(spark: SparkSession, path: str) -> DataFrame:
