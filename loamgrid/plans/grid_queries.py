@@ -316,6 +316,6 @@ query(
 for _m, _a, _b in (("minmax", "min(x)", "max(x) - min(x)"), ("zscore", "avg(x)", "stddev_pop(x)"), ("robust", "median(x)", "mad(x)")):
     query(f"WITH {CUBE_SQL}, s AS (SELECT id, spec[1] AS x FROM cube), p AS (SELECT {_a} AS a, {_b} AS b FROM s) SELECT id, {_r('(x - a) / b', 'y')} FROM s, p", name=f"normalize_{_m}")(lambda s, d, m=_m: _round(P.normalise(_rows(s, d), method=m).select("id", "y")))
 query(f"WITH {CUBE_SQL}, s AS (SELECT spec[1] AS x FROM cube), p AS (SELECT min(x) AS lo, max(x) AS hi FROM s) SELECT least(floor((x - lo) / (hi - lo) * 50), 49)::BIGINT AS bin, count(*) AS n FROM s, p GROUP BY 1", name="histogram")(lambda s, d: P.histogram(_rows(s, d)))
-query(f"WITH {CUBE_SQL} SELECT row, col, label AS class_id, {_r('spec[1]', 'x')} FROM cube WHERE id % 5 = 0", name="extract_samples")(
-    lambda s, d: _round(P.extract_samples(fixture_cube(s, d).select("row", "col", F.element_at("spec", 1).alias("x")), fixture_cube(s, d).where("id % 5 = 0").select((F.col("col") + 0.5).alias("x"), (F.col("row") + 0.25).alias("y"), F.col("label").alias("class_id"))))
+query(f"WITH {CUBE_SQL} SELECT row, col, label AS class_id, {_r('spec[1]', 'x')} FROM cube", name="extract_samples")(
+    lambda s, d: _round(P.extract_samples(fixture_cube(s, d).select("row", "col", F.element_at("spec", 1).alias("x")), fixture_cube(s, d).select((F.col("col") + 0.5).alias("x"), (F.col("row") + 0.25).alias("y"), F.col("label").alias("class_id"))))
 )

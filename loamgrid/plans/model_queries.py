@@ -18,13 +18,13 @@ from loamgrid.streaming import windows as W
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows (id, label, features of 16 bands)."""
-    c = fixture_cube(spark, sf_dir).select("id", "label", F.slice("spec", 1, 16).alias("features"))
-    return c.where("id % 5 <> 0"), c.where("id % 5 = 0")
+    """Training rows and rows to predict (id, label, features): the whole labelled scene, all bands."""
+    c = fixture_cube(spark, sf_dir).select("id", "label", F.col("spec").alias("features"))
+    return c, c.select((F.col("id") + 0).alias("id"), "label", "features")
 
 
-_D2 = " + ".join(f"pow(a.spec[{i}] - b.spec[{i}], 2)" for i in range(1, 17))
-_KNN = f"n AS (SELECT a.id, b.id AS other, b.label, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id) AS r FROM cube a JOIN cube b ON a.id % 5 = 0 AND b.id % 5 <> 0)"
+_D2 = " + ".join(f"pow(a.spec[{i}] - b.spec[{i}], 2)" for i in range(1, 65))
+_KNN = f"n AS (SELECT a.id, b.id AS other, b.label, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id) AS r FROM cube a, cube b)"
 
 
 @query(f"WITH {CUBE_SQL}, {_KNN}, v AS (SELECT id, label, count(*) AS v FROM n WHERE r <= 5 GROUP BY 1, 2) SELECT id, min_by(label, (-v, label)) AS prediction, round(max(v) / 5.0, 6) + 0.0 AS share FROM v GROUP BY id")
@@ -34,9 +34,9 @@ def knn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {CUBE_SQL}, l AS (SELECT id, label, i, spec[i] AS x FROM cube, range(1, 17) q(i)), e AS (SELECT max(v) * 1e-9 AS eps FROM (SELECT var_pop(x) AS v FROM l WHERE id % 5 <> 0 GROUP BY i)),
-    m AS (SELECT label, i, avg(x) AS m, var_pop(x) + any_value(eps) AS v, count(*) AS n FROM l, e WHERE id % 5 <> 0 GROUP BY 1, 2), pr AS (SELECT label, ln(max(n) / (SELECT count(*) FROM cube WHERE id % 5 <> 0)) AS pr FROM m GROUP BY 1),
-    s AS (SELECT l.id, m.label, any_value(pr) + sum(-0.5 * ln(2 * pi() * v) - pow(x - m, 2) / (2 * v)) AS ll FROM l JOIN m ON l.i = m.i JOIN pr ON pr.label = m.label WHERE l.id % 5 = 0 GROUP BY 1, 2)
+    f"""WITH {CUBE_SQL}, l AS (SELECT id, label, i, spec[i] AS x FROM cube, range(1, 65) q(i)), e AS (SELECT max(v) * 1e-9 AS eps FROM (SELECT var_pop(x) AS v FROM l GROUP BY i)),
+    m AS (SELECT label, i, avg(x) AS m, var_pop(x) + any_value(eps) AS v, count(*) AS n FROM l, e GROUP BY 1, 2), pr AS (SELECT label, ln(max(n) / (SELECT count(*) FROM cube)) AS pr FROM m GROUP BY 1),
+    s AS (SELECT l.id, m.label, any_value(pr) + sum(-0.5 * ln(2 * pi() * v) - pow(x - m, 2) / (2 * v)) AS ll FROM l JOIN m ON l.i = m.i JOIN pr ON pr.label = m.label GROUP BY 1, 2)
     SELECT id, arg_max(label, ll) AS prediction, round(1 / sum(exp(ll - top)), 6) + 0.0 AS p FROM (SELECT *, max(ll) OVER (PARTITION BY id) AS top FROM s) GROUP BY id"""
 )
 def gaussian_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def _ml(kind: str, **kw):
 
 
 query(name="rf_predict")(_ml("rf", numTrees=20))
-query(name="svm_predict")(_ml("svm", top=12, maxIter=10))
+query(name="svm_predict")(_ml("svm", top=50, maxIter=10))
 query(name="logreg_predict")(_ml("logreg", maxIter=20))
 
 
@@ -97,9 +97,9 @@ _STRIPE = """{n} AS (SELECT b, {a}, m, avg(m) OVER (PARTITION BY b) AS mid, stdd
     {n}x AS (SELECT s.b, s.row, s.col, CASE WHEN abs(m - mid) > 2 * sd AND len(near) > 0 THEN x * list_avg(near) / m ELSE x END AS x FROM {src} s JOIN {n} USING (b, {a}))"""
 
 
-@query(f"WITH {CUBE_SQL}, l AS (SELECT b, row, col, spec[b + 1] AS x FROM cube, range(4) r(b)), {_STRIPE.format(n='c', a='col', src='l')}, {_STRIPE.format(n='d', a='row', src='cx')} SELECT row, col, b::BIGINT AS band, round(x, 6) + 0.0 AS x FROM dx")
+@query(f"WITH {CUBE_SQL}, l AS (SELECT b, row, col, spec[b + 1] AS x FROM cube, range(64) r(b)), {_STRIPE.format(n='c', a='col', src='l')}, {_STRIPE.format(n='d', a='row', src='cx')} SELECT row, col, b::BIGINT AS band, round(x, 6) + 0.0 AS x FROM dx")
 def destripe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = by_band(fixture_cube(spark, sf_dir).withColumn("spec", F.slice("spec", 1, 4)), "row", "col")
+    x = by_band(fixture_cube(spark, sf_dir), "row", "col")
     return N.destripe(x).select("row", "col", F.col("band").cast("long").alias("band"), r6(F.col("x")).alias("x"))
 
 
