@@ -1,5 +1,7 @@
 """Hand-computed grids: stencils, components, sequences."""
 
+import random
+
 from loamgrid.operators import components as K
 from loamgrid.operators import landscape as L
 from loamgrid.operators import stencil as S
@@ -64,13 +66,27 @@ def test_empty_grid(spark):
     assert K.components(e).count() == 0 and S.median_filter(e).count() == 0 and L.aggregation_index(e).count() == 0
 
 
-def test_cost_distance_is_never_cut_short(spark):
-    import pytest
+def test_cost_distance_runs_through_all_tiles(spark):
+    import heapq
+    import math
 
     from loamgrid.operators import connectivity as G
 
-    line = spark.createDataFrame([(0, c, 1.0) for c in range(6)], "row long, col long, r double")
-    seed = spark.createDataFrame([(0, 0, 1)], "row long, col long, source long")
-    with pytest.raises(ValueError, match="isn't finished"):
-        G.cost_distance(line, seed, most_rounds=2)
-    assert {r["col"]: r["cost"] for r in G.cost_distance(line, seed).collect()} == {c: float(c) for c in range(6)}
+    rng = random.Random(4)
+    r = {(i, j): float(rng.choice([1, 1, 2, 9])) for i in range(13) for j in range(11) if (i, j) != (5, 5) and (i != 7 or j > 8)}
+    seeds = [(0, 0, 1), (12, 10, 1), (6, 2, 2), (5, 5, 3)]  # the last one is on no cell
+    rows = spark.createDataFrame([(i, j, v) for (i, j), v in r.items()], "row long, col long, r double")
+    got = {(x["source"], x["row"], x["col"]): x["cost"] for x in G.cost_distance(rows, spark.createDataFrame(seeds, "row long, col long, source long"), tile=4).collect()}
+    want = {}
+    for source in (1, 2):
+        heap = [(0.0, i, j) for i, j, s in seeds if s == source]
+        while heap:
+            d, i, j = heapq.heappop(heap)
+            if (source, i, j) in want:
+                continue
+            want[source, i, j] = d
+            for a in (-1, 0, 1):
+                for b in (-1, 0, 1):
+                    if (a or b) and (i + a, j + b) in r:
+                        heapq.heappush(heap, (d + math.hypot(a, b) * (r[i, j] + r[i + a, j + b]) / 2, i + a, j + b))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

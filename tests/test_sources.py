@@ -27,9 +27,9 @@ def test_envi_layouts_bands_and_window(spark, tmp_path, layout):
 
 
 def test_formats_that_are_refused(spark, tmp_path):
-    (tmp_path / "x.tif").touch()
-    with pytest.raises(NotImplementedError, match="rasterio"):
-        R.load_cube(spark, str(tmp_path / "x.tif"))
+    (tmp_path / "x.h5").touch()
+    with pytest.raises(NotImplementedError, match="h5py"):
+        R.load_cube(spark, str(tmp_path / "x.h5"))
     with pytest.raises(ValueError):
         R.load_cube(spark, "x.docx")
     with pytest.raises(FileNotFoundError):
