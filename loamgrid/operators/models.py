@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loamgrid.functions.arrays import total
+from loamgrid.operators.networks import NETWORKS
 
 
 def vectors(rows: DataFrame, features: str = "features") -> DataFrame:
@@ -149,25 +150,15 @@ def estimator(kind: str, **kw) -> Estimator:
 
 
 KINDS = ("svm", "rbf_svm", "rf", "xgb", "nb", "logreg", "mlp")
-DEEP = ("cnn3d", "hybrid", "transformer", "resnet")
+DEEP = tuple(NETWORKS)
 ENSEMBLES = ("voting", "stacking", "dynamic")
 
 
 def available() -> dict[str, tuple[str, ...]]:
-    """Names by group; deep networks need torch and are refused without it."""
+    """Names by group; deep networks are in :mod:`loamgrid.operators.networks`."""
     return {"traditional": (*KINDS, "knn"), "deep": DEEP, "ensemble": ENSEMBLES}
 
 
-def deep_estimator(kind: str):
-    if kind not in DEEP:
-        raise ValueError(f"unknown network {kind}")
-    try:
-        import torch  # noqa: F401
-    except ImportError as e:
-        raise NotImplementedError(f"{kind} needs torch, which isn't installed; 'mlp' is the network without it") from e
-    raise NotImplementedError(f"{kind} isn't built; 'mlp' is the network that is")
-
-
 def probabilities(model, rows: DataFrame, classes: int) -> DataFrame:
     """id, p array<double>: a model's class probabilities; margins go through a softmax."""
     out = model.transform(rows)
