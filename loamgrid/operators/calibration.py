@@ -151,6 +151,12 @@ def _band_row(stats: DataFrame, value: Column, name: str) -> DataFrame:
     return stats.agg(F.transform(ordered, lambda t: t["v"]).alias(name))
 
 
+def relative_azimuth(meta: dict) -> float:
+    """Degrees between the sun's and the sensor's azimuth; 0 where either is unknown."""
+    a, b = meta.get("sun_azimuth"), meta.get("view_azimuth")
+    return abs(a - b) if a is not None and b is not None else 0.0
+
+
 def dark_object(cube: DataFrame, waves: list[float], percentile: float = 0.01) -> DataFrame:
     """Dark object subtraction: per-band means of the darkest pixels of band 50 (or the last) give
     the path radiance, with the Rayleigh level as its floor."""

@@ -111,3 +111,31 @@ def rpc_points(height: int, width: int, spark, scale: tuple[float, float], offse
     return g.select("x", "y", (F.col("x") * scale[0] + offset[0]).alias("sx"), (F.col("y") * scale[1] + offset[1]).alias("sy"))
 
 
+def to_pixel_size(cube: DataFrame, pixel: tuple[float, float], target: tuple[float, float], method: str = "bilinear") -> DataFrame:
+    """The cube on pixels of another size, where that is over a tenth away."""
+    sx, sy = pixel[0] / target[0], pixel[1] / target[1]
+    if abs(sx - 1) <= 0.1 and abs(sy - 1) <= 0.1:
+        return cube
+    size = grid_size(cube).first()
+    if size is None or size["h"] is None:
+        return cube
+    return resample(cube, max(1, round(size["h"] * sy)), max(1, round(size["w"] * sx)), method)
+
+
+def correct(cube: DataFrame, meta: dict, target: tuple[float, float] = (30.0, 30.0), points: DataFrame | None = None, crs: str | None = None, method: str = "bilinear") -> DataFrame:
+    """Geometric correction by what is known: control points, else a rational model (``rpc``: scale and
+    offset), else the pixel size.  Another coordinate system than the scene's is refused: projections
+    need a library of them."""
+    if crs and meta.get("crs") and crs != meta["crs"]:
+        raise NotImplementedError(f"reprojecting {meta['crs']} to {crs} needs a projection library, which isn't installed")
+    size = grid_size(cube).first()
+    if size is None or size["h"] is None:
+        return cube
+    if points is not None:
+        return correct_by_points(cube, points, size["h"], size["w"], method)
+    if "rpc" in meta:
+        p = rpc_points(size["h"], size["w"], cube.sparkSession, tuple(meta["rpc"]["scale"]), tuple(meta["rpc"]["offset"]))
+        return correct_by_points(cube, p, size["h"], size["w"], method)
+    transform = meta.get("transform")
+    pixel = tuple(meta["pixel_size"][:2]) if meta.get("pixel_size") else (abs(transform[0]), abs(transform[4])) if transform else None
+    return to_pixel_size(cube, pixel, target, method) if pixel else cube

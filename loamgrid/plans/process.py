@@ -89,6 +89,24 @@ class Pipeline:
         return Q.quality(labels.select("row", "col", "cls"), self.process(labels), tile)
 
 
+def consistency_check(labels: DataFrame, allowed: DataFrame | None = None, least: DataFrame | None = None, terrain: DataFrame | None = None, limits: DataFrame | None = None, tile: int = 256) -> dict[str, DataFrame]:
+    """What rules a label map breaks, by kind, and its score: allowed neighbours (cls, other), least
+    clusters (cls, least), terrain limits; rules that aren't given aren't checked."""
+    none = lambda schema: labels.sparkSession.createDataFrame([], schema)
+    kind = labels.schema["cls"].dataType.simpleString()
+    adjacency = Q.adjacency_violations(labels, allowed) if allowed is not None else none(f"row long, col long, cls {kind}, other {kind}")
+    isolated = Q.isolated_clusters(labels, least, tile) if least is not None else none(f"patch long, cls {kind}, n long")
+    out = {"adjacency": cut(adjacency), "isolated": cut(isolated)}
+    if terrain is not None and limits is not None:
+        out["terrain"] = Q.terrain_violations(labels, terrain, limits)
+    return out | {"score": Q.score(labels, out["adjacency"], out["isolated"])}
+
+
+def apply_consistency(labels: DataFrame, least: int = 5, size: int = 3, tile: int = 256) -> DataFrame:
+    """A label map with its small clusters dissolved and its restless pixels voted over."""
+    return Q.neighbourhood_majority(K.small_patch_removal(check_labelmap(labels), least, tile=tile), size)
+
+
 def compare_methods(labels: DataFrame, methods: tuple[str, ...] = tuple(PRESETS), truth: DataFrame | None = None, tile: int = 256) -> DataFrame:
     """method, changed share, patches and boundaries before and after, and accuracy against a truth
     (row, col, cls) where given."""
