@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.lineage import cut, discard
+from loamgrid.operators.graphs import graph_components
 from loamgrid.operators.stencil import diamond, disk, grid_size, spread
 
 _SHIFT = 31
@@ -42,27 +43,6 @@ def _label_tile(pdf: pd.DataFrame, eight: bool) -> np.ndarray:
             return lab[at]
 
 
-def graph_components(links: DataFrame) -> DataFrame:
-    """(node, comp) of (a, b) links: comp is the least node reached.
-
-    Labels spread along links and then jump to their label's label, so rounds grow with the
-    logarithm of a component's diameter; each round is written and read again, and the round before
-    it deleted.
-    """
-    both = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"), F.lit(None).cast("long").alias("was")))
-    while True:
-        now = labels.select("node", "comp")
-        near = both.join(now.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        spread_ = now.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        jumped = cut(spread_.join(now.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp").select("node", F.least("comp", "next").alias("comp"), "was"))
-        discard(labels)
-        if not jumped.where("comp <> was").limit(1).count():
-            discard(both)
-            return jumped.select("node", "comp")
-        labels = jumped
-
-
 def components(labels: DataFrame, eight: bool = True, tile: int = 256) -> DataFrame:
     """row, col, cls, patch: patch is the least (row, col) of its component as one long."""
     keyed = labels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("cls").cast("long").alias("cls"))

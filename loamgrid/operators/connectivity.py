@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.lineage import cut, discard
-from loamgrid.operators.components import graph_components
+from loamgrid.operators.graphs import graph_components
 
 _STEPS = [(r, c, math.hypot(r, c)) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)]
 

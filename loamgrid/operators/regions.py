@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loamgrid.lineage import cut, discard
-from loamgrid.operators.components import components, graph_components
+from loamgrid.operators.components import components
+from loamgrid.operators.graphs import graph_components
 from loamgrid.operators.stencil import LAPLACE, box, grid_size, spread
 
 _EIGHT = [k for k in box(3) if k[:2] != (0, 0)]
