@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.llm import textkernel as tk
 from loamgrid.llm.common import cut, spare, text_or_empty
-from loamgrid.operators.components import graph_components as components
+from loamgrid.operators.graphs import graph_components as components
 
 
 @dataclass(frozen=True)
@@ -181,7 +181,7 @@ def signed(docs: DataFrame, s: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(digests, pa.binary()), pa.concat_arrays(keys)], names=["doc_id", "mark", "digest", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), "text")
-    return rows.mapInArrow(run, "doc_id long, mark long, digest binary, bands array<bigint>")
+    return rows.mapInArrow(tk.released(run), "doc_id long, mark long, digest binary, bands array<bigint>")
 
 
 def text_mark() -> Column:
@@ -204,7 +204,7 @@ def bags(docs: DataFrame, s: Settings) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(flat).view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "bag"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, bag array<int>")
+    return docs.select("node", "text").mapInArrow(tk.released(run), "node long, bag array<int>")
 
 
 def _lists(column: pa.ListArray) -> list[np.ndarray]:
@@ -238,7 +238,7 @@ def verified(pairs: DataFrame, bag: DataFrame, s: Settings) -> DataFrame:
                 keep.append(same >= s.threshold * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return two.where(small >= large * s.threshold).select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
+    return two.where(small >= large * s.threshold).select("a", "b", "bag_a", "bag_b").mapInArrow(tk.released(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:

@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +32,7 @@ from loamgrid.llm import textkernel as tk
 from loamgrid.llm.common import cut, spare
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
 def default_path() -> str:
@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = 2048, closing
             kept = [batch.column(c).take(pa.array(owner, pa.int64())) for c in order]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows] + kept, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *order])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *order).mapInArrow(run, ", ".join([PIECES, *(f"{c} long" for c in order)]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *order).mapInArrow(tk.released(run), ", ".join([PIECES, *(f"{c} long" for c in order)]))
 
 
 class OpenWindows:
@@ -204,14 +204,14 @@ def pack_pieces(cut_pieces: DataFrame, window: int, group_rows: int) -> DataFram
     n_groups = -(-max(1, cut_pieces.count()) // group_rows)
     schema = PIECES + ", sequence_id long, offset long"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        group = int(pdf["group"].iloc[0])
-        pdf = pdf.drop(columns="group").sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        at, offset = best_fit_decreasing(pdf["length"].to_numpy(), window)
-        return pdf.assign(sequence_id=(at << 32) | group, offset=offset)
+    def run(rows: pa.Table) -> pa.Table:
+        group = rows["group"][0].as_py()
+        rows = rows.select(NAMES).sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        at, offset = best_fit_decreasing(rows["length"].to_numpy(), window)
+        return rows.append_column("sequence_id", pa.array((at << 32) | group)).append_column("offset", pa.array(offset))
 
     keyed = cut_pieces.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_groups)))
-    return keyed.groupBy("group").applyInPandas(run, schema)
+    return keyed.groupBy("group").applyInArrow(run, schema)
 
 
 def pack_in_order(docs: DataFrame, path: str | None = None, window: int = 2048, closing_id: int = 1, group_rows: int = 4096) -> DataFrame:
@@ -242,13 +242,14 @@ def pack_runs(cut_pieces: DataFrame, order: tuple[str, ...], window: int, group_
     placed = numbered.join(starts, [*file, "chunk"]).withColumn("place", F.col("first") + F.col("nth"))
     schema = PIECES + ", sequence_id long, offset long"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        group = int(pdf["group"].iloc[0])
-        pdf = pdf.drop(columns="group").sort_values(["length", "place"], ascending=[False, True], kind="stable", ignore_index=True)
-        at, offset = best_fit_decreasing(pdf["length"].to_numpy(), window)
-        first = pdf["place"].groupby(at).min().to_numpy()
+    def run(rows: pa.Table) -> pa.Table:
+        group = rows["group"][0].as_py()
+        rows = rows.sort_by([("length", "descending"), ("place", "ascending")])
+        at, offset = best_fit_decreasing(rows["length"].to_numpy(), window)
+        first = np.full(int(at.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, at, rows["place"].to_numpy())
         rank = np.argsort(np.argsort(first))
-        return pdf.drop(columns="place").assign(sequence_id=(group << 32) | rank[at], offset=offset)
+        return rows.select(NAMES).append_column("sequence_id", pa.array((group << 32) | rank[at])).append_column("offset", pa.array(offset))
 
-    keyed = placed.withColumn("group", F.expr(f"place div {group_rows}")).select(*(c.split()[0] for c in PIECES.split(", ")), "place", "group")
-    return keyed.groupBy("group").applyInPandas(run, schema)
+    keyed = placed.withColumn("group", F.expr(f"place div {group_rows}")).select(*NAMES, "place", "group")
+    return keyed.groupBy("group").applyInArrow(run, schema)

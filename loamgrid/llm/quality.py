@@ -112,7 +112,7 @@ def sparse_rows(labelled: DataFrame, settings: Settings) -> DataFrame:
                     values.append(total[bounds[i] : bounds[i + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array(slots, pa.binary()), pa.array(values, pa.binary())], names=["key", "label", "slots", "values"])
 
-    return labelled.select("key", "label", "text").mapInArrow(run, "key long, label int, slots binary, values binary")
+    return labelled.select("key", "label", "text").mapInArrow(tk.released(run), "key long, label int, slots binary, values binary")
 
 
 def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> np.ndarray:
@@ -176,7 +176,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings | None
             p = scores(texts_of(batch), weights.value, s.bits)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(tk.released(run), SCHEMA)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -188,4 +188,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings | None = No
         for batch in batches:
             yield batch.filter(pa.array(scores(texts_of(batch), weights.value, s.bits) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tk.released(run), docs.schema)

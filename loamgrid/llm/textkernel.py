@@ -141,7 +141,7 @@ def distinct_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return first, back, key
 
 
-def slices(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` characters together (one longer text stands alone)."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -153,6 +153,24 @@ def slices(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over Arrow batches, after which a worker gives its freed memory back to the system, so
+    workers that wait for the next task hold only what they remember."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 class Batch:
     """Code points of texts laid end to end, each followed by an END position."""
 
@@ -340,7 +358,7 @@ class TokenMemo:
     it would hold more than ``most`` pre-tokens or eight times as many characters.
     """
 
-    def __init__(self, most: int = 1_500_000) -> None:
+    def __init__(self, most: int = 1_000_000) -> None:
         self.most = most
         self._clear()
 

@@ -217,4 +217,4 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512) ->
             size = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tk.released(run), SCHEMA)
