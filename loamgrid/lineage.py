@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,3 +43,8 @@ def discard(*tables: DataFrame) -> None:
         sc = df.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(df._loamgrid_path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """``table`` marked for broadcast if it has at most so many rows, else left to the optimiser."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table

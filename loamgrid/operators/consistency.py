@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.lineage import small
 from loamgrid.operators import components as K
 from loamgrid.operators import stencil as S
 
@@ -16,20 +17,20 @@ def adjacency_violations(labels: DataFrame, allowed: DataFrame) -> DataFrame:
     """
     four = [k for k in S.diamond(1) if k[:2] != (0, 0)]
     near = S.spread(labels.withColumnRenamed("cls", "other"), four, reflect=False, size=S.grid_size(labels)).join(labels, ["row", "col"]).where("cls <> other")
-    ruled = near.join(F.broadcast(allowed.select("cls").distinct()), "cls", "left_semi")
-    return ruled.join(F.broadcast(allowed), ["cls", "other"], "left_anti").select("row", "col", "cls", "other")
+    ruled = near.join(small(allowed.select("cls").distinct()), "cls", "left_semi")
+    return ruled.join(small(allowed), ["cls", "other"], "left_anti").select("row", "col", "cls", "other")
 
 
 def isolated_clusters(labels: DataFrame, least: DataFrame, tile: int = 256) -> DataFrame:
     """patch, cls, n: four-connected clusters under their class's minimum (cls, least)."""
     n = K.components(labels, eight=False, tile=tile).groupBy("patch", "cls").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(F.broadcast(least), "cls").where("n < least").select("patch", "cls", "n")
+    return n.join(small(least), "cls").where("n < least").select("patch", "cls", "n")
 
 
 def terrain_violations(labels: DataFrame, terrain: DataFrame, limits: DataFrame) -> DataFrame:
     """row, col, cls, kind: pixels whose slope or elevation is beyond their class's limits
     (cls, max_slope, min_dem, max_dem; null: no limit)."""
-    j = labels.join(terrain, ["row", "col"]).join(F.broadcast(limits), "cls")
+    j = labels.join(terrain, ["row", "col"]).join(small(limits), "cls")
     kind = F.when(F.col("slope") > F.col("max_slope"), "slope").when(F.col("dem") < F.col("min_dem"), "low").when(F.col("dem") > F.col("max_dem"), "high")
     return j.withColumn("kind", kind).where("kind is not null").select("row", "col", "cls", "kind")
 

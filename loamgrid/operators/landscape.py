@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamgrid.lineage import cut
+from loamgrid.lineage import cut, small
 
 
 def _real(patches: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def node_strength(patches: DataFrame, edges: DataFrame) -> DataFrame:
 
 def resistance(labels: DataFrame, classes: DataFrame, default: float = 5.0) -> DataFrame:
     """row, col, r: the class's resistance (class_id, resistance), a default elsewhere."""
-    return labels.join(F.broadcast(classes), labels["cls"] == classes["class_id"], "left").select("row", "col", F.coalesce("resistance", F.lit(default)).alias("r"))
+    return labels.join(small(classes), labels["cls"] == classes["class_id"], "left").select("row", "col", F.coalesce("resistance", F.lit(default)).alias("r"))
 
 
 # Wetland metrics. Class ids by role.

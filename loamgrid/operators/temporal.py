@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loamgrid.lineage import small
+
 
 def _by_time() -> Window:
     return Window.partitionBy("unit").orderBy("t")
@@ -50,11 +52,11 @@ def oscillations(series: DataFrame) -> DataFrame:
 def forbidden_transitions(series: DataFrame, rules: DataFrame) -> DataFrame:
     """unit, t, was, cls of steps that a rule table (was, cls) forbids."""
     s = series.withColumn("was", F.lag("cls").over(_by_time())).where("was <> cls")
-    return s.join(F.broadcast(rules), ["was", "cls"], "left_semi").select("unit", "t", "was", "cls")
+    return s.join(small(rules), ["was", "cls"], "left_semi").select("unit", "t", "was", "cls")
 
 
 def validity_rate(series: DataFrame, rules: DataFrame) -> DataFrame:
-    s = series.withColumn("was", F.lag("cls").over(_by_time())).where("was <> cls").join(F.broadcast(rules.withColumn("bad", F.lit(1))), ["was", "cls"], "left")
+    s = series.withColumn("was", F.lag("cls").over(_by_time())).where("was <> cls").join(small(rules.withColumn("bad", F.lit(1))), ["was", "cls"], "left")
     return s.agg(F.coalesce(F.avg(F.col("bad").isNull().cast("double")), F.lit(1.0)).alias("validity"))
 
 
@@ -74,7 +76,7 @@ def temporal_mode(series: DataFrame, half: int = 1) -> DataFrame:
 def carry_back(series: DataFrame, rules: DataFrame) -> DataFrame:
     """Forbidden steps take the unit's last original class."""
     s = series.withColumn("was", F.lag("cls").over(_by_time()))
-    bad = s.join(F.broadcast(rules.withColumn("bad", F.lit(1))), ["was", "cls"], "left")
+    bad = s.join(small(rules.withColumn("bad", F.lit(1))), ["was", "cls"], "left")
     return bad.select("unit", "t", F.when(F.col("bad") == 1, F.col("was")).otherwise(F.col("cls")).alias("cls"))
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loamgrid.functions import indices as I
 from loamgrid.scene import Bands
@@ -17,8 +15,7 @@ def register(spark: SparkSession, cube: DataFrame, bands: Bands, labels: DataFra
     if labels is not None:
         labels.createOrReplaceTempView(f"{prefix}labelmap")
 
-    @F.pandas_udf("double")
-    def spectrum_mean(s: pd.Series) -> pd.Series:
-        return s.map(lambda a: float(sum(a) / len(a)) if a is not None and len(a) else None)
-
-    spark.udf.register(f"{prefix}spectrum_mean", spectrum_mean)
+    # Functions in SQL itself, so they stay inside generated code.
+    total = "aggregate(a, 0D, (s, x) -> s + x)"
+    for name, body in {"spectrum_mean": f"{total} / nullif(size(a), 0)", "spectrum_range": "array_max(a) - array_min(a)"}.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(a ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}")
