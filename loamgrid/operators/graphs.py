@@ -25,5 +25,7 @@ def graph_components(links: DataFrame) -> DataFrame:
         discard(labels)
         if not jumped.where("comp <> was").limit(1).count():
             discard(both)
-            return jumped.select("node", "comp")
+            out = jumped.select("node", "comp")
+            out._loamgrid_path = jumped._loamgrid_path  # for who discards it
+            return out
         labels = jumped
