@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamgrid.llm.common import cut
+from loamgrid.llm.common import cut, discard
 
 BLOCK_BITS = 8
 
@@ -62,7 +62,9 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     distinct = last.groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
     ends = last.select("conv_id", F.col("n").alias("end"))
     proper = hashed.join(ends, "conv_id").where("n < end").select("n", "h1", "h2").distinct()
-    return distinct.join(proper, ["n", "h1", "h2"], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_copies")
+    kept = cut(distinct.join(proper, ["n", "h1", "h2"], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_copies"))
+    discard(hashed)
+    return kept
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     A turn is rendered as <|role|>, its text and <|end|>, each on its own line.
     """
     turns = cut(_turns(conversations))
-    kept = cut(maximal_conversations(turns))
+    kept = maximal_conversations(turns)
     lines = turns.join(kept.select("conv_id"), "conv_id", "left_semi").withColumn("line", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n")))
     # Two steps, by range and by conversation, so that the parts of a long one are joined side by side.
     parts = lines.groupBy("conv_id", "range").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("x"))

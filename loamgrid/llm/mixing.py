@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamgrid.llm.common import cut, shuffle_width, spare, text_or_empty
+from loamgrid.llm.common import cut, discard, shuffle_width, spare, text_or_empty
 
 BUCKET_BITS = 12
 
@@ -140,8 +140,10 @@ def window_starts(windows: DataFrame, window: int) -> DataFrame:
     while True:
         moved = cut(ends(changed).join(starts, ["phase", "k"]).where("end <> done").select("phase", "k", F.col("end").alias("done")))
         if not moved.limit(1).count():
+            discard(moved)
             return starts
-        starts = cut(starts.join(moved.select("phase", "k"), ["phase", "k"], "left_anti").unionByName(moved))
+        before, starts = starts, cut(starts.join(moved.select("phase", "k"), ["phase", "k"], "left_anti").unionByName(moved))
+        discard(before)
         changed = moved
 
 

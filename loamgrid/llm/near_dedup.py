@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.llm import textkernel as tk
-from loamgrid.llm.common import cut, spare, text_or_empty
+from loamgrid.llm.common import cut, discard, spare, text_or_empty
 from loamgrid.operators.graphs import graph_components as components
 
 
@@ -260,11 +260,13 @@ def classes(docs: DataFrame, s: Settings) -> DataFrame:
     entries = nodes.select("node", F.posexplode("bands").alias("place", "band"))
     sizes = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = cut(entries.join(sizes, "band"))
+    discard(nodes)
     # The leader of a bucket is its hub: the member with the most company over all bands.
     company = met.groupBy("node").agg(F.sum("n").alias("company"))
     hub = F.max(F.struct("company", F.xxhash64("node").alias("o"), F.col("node").alias("leader")))
     leaders = met.join(company, "node").groupBy("band").agg(hub.alias("x")).select("band", F.col("x.leader").alias("leader"))
     members = cut(met.join(leaders, "band"))
+    discard(met)
     # One row stands for a node, and for a class: the first by (doc_id, mark).
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     sized = rows.groupBy("node").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows"))
@@ -272,20 +274,25 @@ def classes(docs: DataFrame, s: Settings) -> DataFrame:
     pairs = members.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     links = cut(verified(pairs, bag, s))
     comp = components(links)
+
+    def joined(links: DataFrame, comp: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links and components with more links, whose tables take the old ones' place."""
+        if not more.limit(1).count():
+            discard(more)
+            return links, comp
+        both = cut(links.union(more).distinct())
+        discard(links, comp, more)
+        return both, components(both)
+
     crowd = cut(_crowd(members.where("n > 2"), comp))
-    more = cut(verified(_close_pairs(crowd, s).union(_finer_pairs(crowd, s)).distinct(), bag, s))
-    if more.limit(1).count():
-        links = cut(links.union(more).distinct())
-        comp = components(links)
-    rest = cut(_block_links(_crowd(members.where(F.col("n") > s.small), comp), bag, s))
-    if rest.limit(1).count():
-        links = cut(links.union(rest).distinct())
-        comp = components(links)
+    links, comp = joined(links, comp, cut(verified(_close_pairs(crowd, s).union(_finer_pairs(crowd, s)).distinct(), bag, s)))
+    links, comp = joined(links, comp, cut(_block_links(_crowd(members.where(F.col("n") > s.small), comp), bag, s)))
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
     # The classes of nodes, then of rows.
     size = sized.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     found = size.groupBy("comp").agg(F.min("first").alias("first"), F.sum("rows").alias("class_size"))
     named = cut(size.select("node", "comp").join(found, "comp").join(degree, "node", "left").select("node", F.col("first.doc_id").alias("class_id"), "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark")))
+    discard(members, bag, crowd, links, comp)
     known = rows.join(named, "node").select("doc_id", "mark", "node", "class_id", "class_size", "n_links", "first_id", "first_mark")
     alone = marked.where("digest is null").select("doc_id", "mark", F.lit(None).cast("long"), "doc_id", F.lit(1).cast("long"), F.lit(0).cast("long"), "doc_id", "mark")
     return known.union(alone)
