@@ -154,15 +154,18 @@ def slices(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
 
 
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` over Arrow batches, after which a worker gives its freed memory back to the system, so
-    workers that wait for the next task hold only what they remember."""
+    """``run`` over Arrow batches a thousand rows at a time, after which a worker gives its freed memory
+    back to the system, so workers that wait for the next task hold only what they remember."""
+
+    def parts(batches: Iterator) -> Iterator:
+        return (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000))
 
     def wrapped(batches: Iterator) -> Iterator:
         import ctypes
 
         import pyarrow as pa
 
-        yield from run(batches)
+        yield from run(parts(batches))
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim is not None:
@@ -350,65 +353,95 @@ def cut_long(text: str, most: int) -> list[str]:
     return parts
 
 
+class _Growing:
+    """An array that is appended to in place; its room doubles when it is full."""
+
+    def __init__(self, dtype: type, first: tuple = ()) -> None:
+        self.room, self.size = np.empty(1024, dtype), 0
+        self.append(np.array(first, dtype))
+
+    def append(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.room):
+            wider = np.empty(max(end, 2 * len(self.room)), self.room.dtype)
+            wider[: self.size] = self.room[: self.size]
+            self.room = wider
+        self.room[self.size : end] = values
+        self.size = end
+
+
 class TokenMemo:
     """Whole numbers known of pre-tokens, for one Python worker.
 
     A pre-token is found by its hash and then compared with the stored text, so a hit is never
     another one's.  It only saves work: what isn't there is computed anew.  It is emptied before
-    it would hold more than ``most`` pre-tokens or eight times as many characters.
+    it would hold more than ``most`` pre-tokens or eight times as many characters.  Hashes are kept
+    in two sorted runs, a long one and a short one that is merged into it now and then.
     """
 
-    def __init__(self, most: int = 1_000_000) -> None:
+    SHORT = 1 << 15
+
+    def __init__(self, most: int = 700_000) -> None:
         self.most = most
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.text, self.text_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.data, self.data_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def _find(self, keys: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The entry of each range, -1 where there is none with its text."""
-        out = np.full(len(keys), -1, np.int64)
-        if not len(self.keys):
-            return out
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[at] == keys)
-        found = self.entry[at[hit]]
-        same = self.text_at[found + 1] - self.text_at[found] == ends[hit] - starts[hit]
-        hit, found = hit[same], found[same]
-        here, place, bounds = _expanded(starts[hit], ends[hit])
-        there = np.repeat(self.text_at[found], np.diff(bounds)) + place
-        differs = np.flatnonzero(values[here] != self.text[there])
-        good = np.ones(len(hit), bool)
-        good[np.searchsorted(bounds, differs, side="right") - 1] = False
-        out[hit[good]] = found[good]
-        return out
+        self.runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
+        self.text, self.text_at = _Growing(np.uint32), _Growing(np.int64, (0,))
+        self.data, self.data_at = _Growing(np.int32), _Growing(np.int64, (0,))
+
+    def __len__(self) -> int:
+        return self.data_at.size - 1
+
+    def _find(self, keys: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entry of each range, -1 where there is none with its text, and whether its hash is known."""
+        entry = np.full(len(keys), -1, np.int64)
+        for run, place in self.runs:
+            if len(run):
+                at = np.minimum(np.searchsorted(run, keys), len(run) - 1)
+                hit = run[at] == keys
+                entry[hit] = place[at[hit]]
+        known = entry >= 0
+        hit = np.flatnonzero(known)
+        found, text_at = entry[hit], self.text_at.room
+        good = text_at[found + 1] - text_at[found] == ends[hit] - starts[hit]
+        same = np.flatnonzero(good)
+        here, place, bounds = _expanded(starts[hit[same]], ends[hit[same]])
+        there = np.repeat(text_at[found[same]], np.diff(bounds)) + place
+        differs = np.flatnonzero(values[here] != self.text.room[there])
+        good[same[np.searchsorted(bounds, differs, side="right") - 1]] = False
+        entry[hit[~good]] = -1
+        return entry, known
+
+    def _remember(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        merged = lambda a, b: (np.insert(a[0], at := np.searchsorted(a[0], b[0]), b[0]), np.insert(a[1], at, b[1]))
+        long, short = self.runs
+        short = merged(short, (keys, entries))
+        if len(short[0]) > self.SHORT:
+            long, short = merged(long, short), (short[0][:0], short[1][:0])
+        self.runs = [long, short]
 
     def ragged(self, keys: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, compute: Callable[[np.ndarray], list]) -> tuple[np.ndarray, np.ndarray]:
         """(sizes, flat) of the numbers of each range; ``compute`` gives those of ranges not known."""
-        entry = self._find(keys, values, starts, ends)
+        entry, known = self._find(keys, values, starts, ends)
         new = np.flatnonzero(entry < 0)
-        room = 8 * self.most - len(self.text)
-        if len(self.data_at) + len(new) > self.most or int((ends[new] - starts[new]).sum()) > room:
+        if len(self) + len(new) > self.most or self.text.size + int((ends[new] - starts[new]).sum()) > 8 * self.most:
             self._clear()
-            new = np.arange(len(keys))
+            new, known = np.arange(len(keys)), np.zeros(len(keys), bool)
         if len(new):
             lists = compute(new)
-            first = len(self.data_at) - 1
-            entry[new] = np.arange(first, first + len(new))
+            entry[new] = np.arange(len(self), len(self) + len(new))
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             here, _, bounds = _expanded(starts[new], ends[new])
-            self.data = np.concatenate([self.data, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))])
-            self.data_at = np.concatenate([self.data_at, self.data_at[-1] + np.cumsum(sizes)])
-            self.text = np.concatenate([self.text, values[here].astype(np.uint32)])
-            self.text_at = np.concatenate([self.text_at, self.text_at[-1] + bounds[1:]])
+            self.data.append(np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())))
+            self.data_at.append(self.data_at.room[self.data_at.size - 1] + np.cumsum(sizes))
+            self.text.append(values[here])
+            self.text_at.append(self.text_at.room[self.text_at.size - 1] + bounds[1:])
             # Of texts that share a hash the first keeps the key.
-            k, at = np.unique(keys[new], return_index=True)
-            free = ~np.isin(k, self.keys, assume_unique=True)
-            k, e = np.concatenate([self.keys, k[free]]), np.concatenate([self.entry, entry[new][at[free]].astype(np.int32)])
-            order = np.argsort(k, kind="stable")
-            self.keys, self.entry = k[order], e[order]
-        sizes = self.data_at[entry + 1] - self.data_at[entry]
+            free = new[~known[new]]
+            k, at = np.unique(keys[free], return_index=True)
+            self._remember(k, entry[free[at]].astype(np.int32))
+        data_at = self.data_at.room
+        sizes = data_at[entry + 1] - data_at[entry]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        return sizes, self.data[np.repeat(self.data_at[entry] - bounds[:-1], sizes) + np.arange(bounds[-1])]
+        return sizes, self.data.room[np.repeat(data_at[entry] - bounds[:-1], sizes) + np.arange(bounds[-1])]
