@@ -18,6 +18,7 @@ text are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -50,11 +51,12 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of its own only wait
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo = tk.TokenMemo()
+        self.memo = tk.TokenMemo(1_500_000, np.uint16)  # easy texts have small code points only
         self.plain = not len(tk.tokens(tk.Batch(["probe"]), joins_space=False)[0]) == 0 and self._understood()
 
     def _understood(self) -> bool:
@@ -72,7 +74,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
-        for a, b in tk.slices(texts):
+        for a, b in tk.slices(texts, 1_000_000):
             if b - a == 1 and len(texts[a]) > 4_000_000:
                 yield np.concatenate([x for part in self._parts(texts[a]) for x in self._slice([part])])
             else:

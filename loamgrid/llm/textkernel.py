@@ -381,14 +381,14 @@ class TokenMemo:
 
     SHORT = 1 << 15
 
-    def __init__(self, most: int = 700_000) -> None:
-        self.most = most
+    def __init__(self, most: int = 700_000, points: type = np.uint32) -> None:
+        self.most, self.points = most, points
         self._clear()
 
     def _clear(self) -> None:
         self.runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
-        self.text, self.text_at = _Growing(np.uint32), _Growing(np.int64, (0,))
-        self.data, self.data_at = _Growing(np.int32), _Growing(np.int64, (0,))
+        self.text, self.text_at = _Growing(self.points), _Growing(np.int32, (0,))
+        self.data, self.data_at = _Growing(np.int32), _Growing(np.int32, (0,))
 
     def __len__(self) -> int:
         return self.data_at.size - 1
