@@ -318,6 +318,27 @@ def test_near_dedup_compares_all_of_a_large_bucket(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_near_dedup_finds_every_link_of_texts_that_share_a_band(spark):
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(110)]
+    texts = []
+    for family in range(14):
+        common = dict.fromkeys(rng.sample(range(110), 4), f"f{family}")
+        for k in range(5):
+            own = common | {rng.randrange(110): f"n{family}x{k}"}
+            texts.append(" ".join(own.get(i, w) for i, w in enumerate(base)))
+    s = near_dedup.Settings(bands=5, rows=1, small=3, block=8)
+    owner, key = near_dedup.shingles(tk.Batch(texts), s.words)
+    bands = near_dedup.band_keys(near_dedup.signatures(*near_dedup.multiset(owner, key), len(texts), 5), 5)
+    sets = [set(key[owner == i].tolist()) for i in range(len(texts))]
+    want = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        if (bands[i] == bands[j]).any() and len(sets[i] & sets[j]) >= s.threshold * len(sets[i] | sets[j]):
+            want = [min(want[i], want[j]) if c in (want[i], want[j]) else c for c in want]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs_of(spark, texts), s).collect()}
+    assert [got[i] for i in range(len(texts))] == want and 1 < len(set(want)) < 40
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(6)
     x, y = {i: int(w) for i, w in enumerate(rng.integers(1, 9, 60))}, {i + 20: int(w) for i, w in enumerate(rng.integers(1, 9, 60))}
@@ -540,6 +561,29 @@ def test_chat_snapshots(spark):
     assert got == {2: (3, 2, line("user", "hi") + line("assistant", "yo") + line("user", "")), 5: (2, 1, line("user", "hi") + line("user", "yo"))}
 
 
+def test_chat_with_null_turns_and_a_very_long_conversation(spark):
+    long = [(7, i, "user", f"t{i}", 0) for i in range(3000)]
+    rows = [*long, *((8, *r[1:]) for r in long[:2999]), *((9, *r[1:]) for r in long), (10, None, "user", "b", 0), (10, None, None, "a", 0), (10, 3, "user", None, 0), (10, -5, "user", "c", 0)]
+    got = {r["conv_id"]: (r["n_turns"], r["n_copies"], r["rendered"]) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, line int").repartition(5)).collect()}
+    line = lambda r, x: f"<|{r}|>\n{x}\n<|end|>\n"
+    assert got.keys() == {7, 10} and got[7] == (3000, 2, "".join(line("user", f"t{i}") for i in range(3000)))
+    assert got[10] == (4, 1, line("", "a") + line("user", "b") + line("user", "c") + line("user", ""))
+
+
+def test_mixing_and_packing_very_long_texts_and_repeated_ids(spark):
+    texts = ["x " * 900_000, "short", None, "short", "tail " * 30]
+    d = docs_of(spark, texts, [1, 1, None, 1, None])
+    slots = sorted((r["slot"], r["n_units"]) for r in mixing.mix(d, {"s0": 1.0, "s1": 3.0, None: 1.0}, block_chars=100).collect())
+    assert len(slots) == 5 and max(n for _, n in slots) == 1_800_001
+    rows = packing.pack(d, window=128, group_rows=1000).collect()
+    enc = packing.encoder(packing.default_path())
+    sizes = Counter((i, len(enc.whole(t or "")) + 1) for i, t in zip([1, 1, None, 1, None], texts, strict=True))
+    got = Counter()
+    for r in rows:
+        got[r["doc_id"], r["doc_tokens"]] += r["length"]
+    assert got == Counter({k: k[1] * n for k, n in sizes.items()})
+
+
 def test_quality_on_held_out_rows(spark):
     d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.score_quality(d, lab).join(lab, "doc_id").collect()
