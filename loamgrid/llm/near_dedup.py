@@ -264,8 +264,8 @@ def classes(docs: DataFrame, s: Settings) -> DataFrame:
     # The leader of a bucket is its hub: the member with the most company over all bands.
     company = met.groupBy("node").agg(F.sum("n").alias("company"))
     hub = F.max(F.struct("company", F.xxhash64("node").alias("o"), F.col("node").alias("leader")))
-    leaders = met.join(company, "node").groupBy("band").agg(hub.alias("x")).select("band", F.col("x.leader").alias("leader"))
-    members = cut(met.join(leaders, "band"))
+    leaders = met.join(company, "node").groupBy("band").agg(hub.alias("x"), F.max("n").alias("n")).select("band", "n", F.col("x.leader").alias("leader"))
+    members = cut(_in_parts(met, leaders, "inner"))
     discard(met)
     # One row stands for a node, and for a class: the first by (doc_id, mark).
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
@@ -298,14 +298,27 @@ def classes(docs: DataFrame, s: Settings) -> DataFrame:
     return known.union(alone)
 
 
+#: So many members of a bucket, about, are one part of it in a join.
+PART = 1024
+
+
+def _in_parts(members: DataFrame, buckets: DataFrame, how: str) -> DataFrame:
+    """Members (band, n, node) joined to a table with a row for each bucket (band, n): a bucket's row is
+    sent once for each part of its members, so a large bucket is no single task's work."""
+    parts = F.ceil(F.col("n") / PART)
+    left = members.withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    right = buckets.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
+    return left.join(right, ["band", "part"], how).drop("part")
+
+
 def _crowd(members: DataFrame, comp: DataFrame) -> DataFrame:
     """band, place, node, n, comp, out of the members of buckets that hold several components."""
     of = comp.select(F.col("node").alias("node"), "comp")
     lead = comp.select(F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))
     crowd = members.join(of, "node", "left").join(lead, "leader", "left").select("band", "place", "node", "leader", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("lead_comp", "leader").alias("lead_comp"))
     crowd = crowd.withColumn("out", F.col("comp") != F.col("lead_comp"))
-    mixed = crowd.groupBy("band").agg(F.max("out").alias("any")).where("any").select("band")
-    return crowd.join(mixed, "band", "left_semi").where("node <> leader").select("band", "place", "node", "n", "comp", "out")
+    mixed = crowd.groupBy("band").agg(F.max("out").alias("any"), F.max("n").alias("n")).where("any").select("band", "n")
+    return _in_parts(crowd, mixed, "left_semi").where("node <> leader").select("band", "place", "node", "n", "comp", "out")
 
 
 def _close_pairs(crowd: DataFrame, s: Settings) -> DataFrame:
