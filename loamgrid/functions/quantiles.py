@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loamgrid.lineage import cut
+
 
 def percentiles(rows: DataFrame, by: list[str], col: str, shares: list[float], bins: int = 4096) -> DataFrame:
     """One row for each group: ``by`` and q, the percentiles at ``shares`` with linear interpolation.
@@ -16,7 +18,8 @@ def percentiles(rows: DataFrame, by: list[str], col: str, shares: list[float], b
     one whole table): their ranges, a row each, are broadcast.
     """
     x = rows.select(*by, F.col(col).cast("double").alias("x")).where("x is not null")
-    s = x.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
+    # A row for each group; written, so that the values are read three times in all.
+    s = cut(x.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n")))
 
     def binned(r: DataFrame) -> DataFrame:
         at = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
@@ -32,7 +35,7 @@ def percentiles(rows: DataFrame, by: list[str], col: str, shares: list[float], b
     inside = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("c"))
     # Every group has a few ranks and at most ``bins`` counts.
     found = asked.join(counts, by).where(inside) if by else asked.join(counts, inside)
-    found = found.select(*by, "i", "at", "rank", "bin", "first")
+    found = cut(found.select(*by, "i", "at", "rank", "bin", "first"))
     wanted = found.select(*by, "bin", "first").distinct()
     values = binned(x).join(F.broadcast(wanted), [*by, "bin"]).groupBy(*by, "bin", "first", "x").agg(F.count(F.lit(1)).alias("m"))
     before = Window.partitionBy(*by, "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
