@@ -162,7 +162,7 @@ class Counter:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.bpe = BpeTransducer([(read(a), read(b)) for a, b in merges])
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.path, self.library, self.memo = path, None, tk.TokenMemo()
+        self.path, self.library, self.memo = path, None, tk.TokenMemo(1_500_000)
 
     def exact(self, text: str) -> int:
         if self.library is None:
@@ -173,7 +173,7 @@ class Counter:
 
     def counts(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
-        for a, b in tk.slices(texts):
+        for a, b in tk.slices(texts, 1_000_000):
             if b - a == 1 and len(texts[a]) > 4_000_000 and not any(m in texts[a] for m in self.added):
                 out[a] = sum(int(self._slice([part])[0]) for part in tk.cut_long(texts[a], 2_000_000))
             else:
