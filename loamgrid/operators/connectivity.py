@@ -163,24 +163,64 @@ def graph_of(edges: DataFrame) -> Graph:
     return Graph(np.asarray(rows["a"]), np.asarray(rows["b"]))
 
 
+#: A component of at most so many nodes is worked on as one group.
+MOST_NODES = 256
+
+
+def _removals(graph: Graph, nodes: np.ndarray) -> pd.DataFrame:
+    """near: the sum of inverse hops from each of the nodes; left: over all ordered pairs without it."""
+    near, left, n = np.zeros(len(nodes)), np.zeros(len(nodes)), len(graph.names)
+    for at in range(0, len(nodes), 64):
+        for step, f in enumerate(graph.levels(nodes[at : at + 64]), 1):
+            near[at : at + 64] += f.sum(1) / step
+    for i, node in enumerate(nodes):
+        left[i] = graph.inverse_hops(np.arange(n) == node)
+    return pd.DataFrame({"node": graph.names[nodes], "near": near, "left": left})
+
+
 def keystones(edges: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """node, loss, keystone: relative loss of efficiency when a node is removed; nodes are dealt to tasks."""
-    graph, spark = graph_of(edges), edges.sparkSession
-    whole, n, sent = graph.efficiency(), len(graph.names), spark.sparkContext.broadcast(graph)
+    """node, loss, keystone: relative loss of efficiency when a node is removed.
+
+    A removal changes hops in the node's own component only, so each component is worked on by
+    itself.  Small ones are a group each; of larger ones the nodes are dealt to tasks.
+    """
     kind = edges.schema["a"].dataType.simpleString()
+    pairs = cut(edges.select("a", "b"))
+    nodes = graph_components(pairs)
+    sizes = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
+    placed = cut(pairs.join(nodes.withColumnRenamed("node", "a"), "a").join(sizes, "comp"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = Graph(pdf["a"].to_numpy(), pdf["b"].to_numpy())
+        return _removals(g, np.arange(len(g.names))).assign(comp=pdf["comp"].iloc[0])[["comp", "node", "near", "left"]]
+
+    schema = f"comp {kind}, node {kind}, near double, left double"
+    done = placed.where(F.col("m") <= MOST_NODES).groupBy("comp").applyInPandas(one, schema)
+    for (comp,) in placed.where(F.col("m") > MOST_NODES).select("comp").distinct().collect():
+        done = done.unionByName(_dealt(placed.where(F.col("comp") == comp), schema))
+    done = cut(done)
+    discard(pairs, placed, nodes)
+    own = done.groupBy("comp").agg(F.sum("near").alias("own"))
+    every = done.agg(F.sum("near").alias("total"), F.count(F.lit(1)).alias("n"))
+    n, left = F.col("n"), F.col("total") - F.col("own") + F.col("left")
+    whole = F.col("total") / (n * (n - 1))
+    without = F.when(n > 2, left / ((n - 1) * (n - 2))).otherwise(0.0)
+    loss = F.when(F.col("total") > 0, (whole - without) / whole).otherwise(0.0)
+    out = done.join(own, "comp").join(F.broadcast(every)).select("node", loss.alias("loss"))
+    return out.withColumn("keystone", F.col("loss") > threshold)
+
 
-    def run(batches):
-        g = sent.value
+def _dealt(edges: DataFrame, schema: str) -> DataFrame:
+    """The removals of one large component, whose nodes are dealt to tasks."""
+    graph, spark, comp = graph_of(edges), edges.sparkSession, edges.first()["comp"]
+    n, sent = len(graph.names), spark.sparkContext.broadcast(graph)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            loss = []
-            for i in pdf["i"]:
-                gone = np.arange(n) == i
-                loss.append((whole - g.efficiency(gone)) / whole if whole else 0.0)
-            yield pd.DataFrame({"node": g.names[pdf["i"].to_numpy()], "loss": loss})
+            yield _removals(sent.value, pdf["i"].to_numpy()).assign(comp=comp)[["comp", "node", "near", "left"]]
 
     parts = max(1, min(n, 4 * spark.sparkContext.defaultParallelism, 10_000))
-    out = spark.range(0, n, 1, parts).withColumnRenamed("id", "i").mapInPandas(run, f"node {kind}, loss double")
-    return out.withColumn("keystone", F.col("loss") > threshold)
+    return spark.range(0, n, 1, parts).withColumnRenamed("id", "i").mapInPandas(run, schema)
 
 
 def network_summary(edges: DataFrame) -> dict[str, float]:
