@@ -37,14 +37,14 @@ def fourier_destripe(x: DataFrame) -> DataFrame:
     """The same by damping the centre axes of each band's spectrum: one band is one task's work."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["row", "col"])
-        img = p.pivot(index="row", columns="col", values="x")
+        img = pdf.pivot(index="row", columns="col", values="x")
         f = np.fft.fftshift(np.fft.fft2(np.nan_to_num(img.to_numpy())))
         r, c = f.shape[0] // 2, f.shape[1] // 2
         f[max(0, r - 3) : r + 4, :] *= 0.1
         f[:, max(0, c - 3) : c + 4] *= 0.1
-        out = pd.DataFrame(np.real(np.fft.ifft2(np.fft.ifftshift(f))), index=img.index, columns=img.columns).stack().rename("x").reset_index()
-        return out.assign(band=p["band"].iloc[0])[["row", "col", "band", "x"]]
+        out = np.real(np.fft.ifft2(np.fft.ifftshift(f)))
+        # Gaps of the grid are filled for the transform only.
+        return pdf[["row", "col", "band"]].assign(x=out[img.index.get_indexer(pdf["row"]), img.columns.get_indexer(pdf["col"])])
 
     return x.groupBy("band").applyInPandas(run, "row long, col long, band long, x double")
 
