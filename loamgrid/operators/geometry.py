@@ -43,8 +43,9 @@ def resample(cube: DataFrame, height: int, width: int, method: str = "bilinear")
     """The cube on a grid of another size, corners on corners."""
     size = grid_size(cube)
     t = output_grid(cube.sparkSession, height, width).join(F.broadcast(size))
-    step = lambda n, m: (F.col(n) - 1) / (m - 1) if m > 1 else F.lit(0.0)
-    return remap(cube, t.select("row", "col", (F.col("row") * step("h", height)).alias("y"), (F.col("col") * step("w", width)).alias("x")), method)
+    # Whole numbers are multiplied before the one division, so that the last place is the last pixel exactly.
+    at = lambda x, n, m: F.col(x) * (F.col(n) - 1) / (m - 1) if m > 1 else F.lit(0.0)
+    return remap(cube, t.select("row", "col", at("row", "h", height).alias("y"), at("col", "w", width).alias("x")), method)
 
 
 def affine(cube: DataFrame, height: int, width: int, matrix: list[list[float]], method: str = "bilinear") -> DataFrame:
