@@ -176,11 +176,11 @@ def wetland_patches(labels: DataFrame, tile: int = 256) -> DataFrame:
 
 def rim(labels: DataFrame, ids: tuple[int, ...]) -> DataFrame:
     """Pixels outside the classes with a four-neighbour inside."""
-    from loamgrid.operators.stencil import diamond, grid_size, spread
+    from loamgrid.operators.stencil import diamond, grid_size, present, spread
 
     inside = labels.where(F.col("cls").isin(*ids)).select("row", "col")
     near = spread(inside, [k for k in diamond(1) if k[:2] != (0, 0)], reflect=False, size=grid_size(labels)).select("row", "col").distinct()
-    return near.join(inside, ["row", "col"], "left_anti")
+    return present(near, labels).join(inside, ["row", "col"], "left_anti")
 
 
 def ecotone_index(labels: DataFrame) -> DataFrame:
