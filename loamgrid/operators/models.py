@@ -7,6 +7,7 @@ exact: test and training rows meet in blocks, each block gives its k best, and t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 from itertools import product
@@ -56,9 +57,24 @@ def _nearest_rows(x: np.ndarray, y: np.ndarray, k: int, spare: int = 8) -> tuple
     return at, d2
 
 
+#: Rows of one block of either side at most: a group holds a block of each, 64 features taking 0.5 KB a row.
+MOST_ROWS = 131_072
+
+
+def _blocks(rows: int, block: int, cores: int) -> int:
+    """Blocks of a side: enough for all cores, and no more than that while blocks stay below MOST_ROWS,
+    since every block is sent once for each block of the other side."""
+    return max(1, min(-(-rows // block), math.ceil((4 * cores) ** 0.5)), -(-rows // MOST_ROWS))
+
+
 def nearest(test: DataFrame, train: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """id, other, label, d2, r: the k nearest training rows of each test row, ties to smaller ids."""
-    n_train, n_test = (-(-max(1, t.count()) // block) for t in (train, test))
+    """id, other, label, d2, r: the k nearest training rows of each test row, ties to smaller ids.
+
+    Rows are shuffled once for each block of the other side.  The number of blocks follows the
+    cores, not the rows, so what is shuffled grows with the rows.
+    """
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    n_train, n_test = (_blocks(t.count(), block // 4, cores) for t in (train, test))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = test.select("id", "features").withColumn("tb", F.pmod(F.xxhash64("id"), F.lit(n_test)).cast("int")).withColumn("rb", every(n_train))
     right = train.select(F.col("id").alias("oid"), F.col("label").cast("long").alias("label"), F.col("features").alias("f")).withColumn("rb", F.pmod(F.xxhash64("oid"), F.lit(n_train)).cast("int")).withColumn("tb", every(n_test))
@@ -71,7 +87,11 @@ def nearest(test: DataFrame, train: DataFrame, k: int, block: int = 4096) -> Dat
         x, y = np.stack(a["features"].to_numpy()), np.stack(b["f"].to_numpy())
         out = []
         for i in range(0, len(x), 256):
-            at, d2 = _nearest_rows(x[i : i + 256], y, k)
+            # Parts of the training rows in the order of their ids, so that ties stay with the smaller ones.
+            some = [_nearest_rows(x[i : i + 256], y[j : j + block], k) for j in range(0, len(y), block)]
+            at, d2 = np.hstack([at + j * block for j, (at, _) in enumerate(some)]), np.hstack([d2 for _, d2 in some])
+            first = np.argsort(d2, axis=1, kind="stable")[:, :k]
+            at, d2 = np.take_along_axis(at, first, 1), np.take_along_axis(d2, first, 1)
             out.append(pd.DataFrame({"id": np.repeat(a["id"].to_numpy()[i : i + 256], at.shape[1]), "other": b["oid"].to_numpy()[at].ravel(), "label": b["label"].to_numpy()[at].ravel(), "d2": d2.ravel()}))
         return pd.concat(out)
 
